@@ -13,7 +13,7 @@ MEDIUM_FROM = 0.33
 
 def squash(value: Column, n: Column, mean: Column, m2: Column) -> Column:
     """Logistic of the z-score; neutral below two observations."""
-    variance = F.greatest(m2 / (n - 1), F.lit(MIN_VARIANCE))
+    variance = F.greatest(F.try_divide(m2, n - 1), F.lit(MIN_VARIANCE))
     z = (value - mean) / F.sqrt(variance)
     return (
         F.when(value.isNull(), F.lit(None).cast("double"))

@@ -77,7 +77,7 @@ def news_features(
     strikes = at_back("strike", 0) - at_back("strike", NEWS_DAYS)
     return totals.groupBy("request_id").agg(
         volume.cast("int").alias("news_vol_7d"),
-        F.when(recent > 0, negative / recent).otherwise(0.0).alias("neg_tone_frac_3d"),
+        F.coalesce(F.try_divide(negative, recent), F.lit(0.0)).alias("neg_tone_frac_3d"),
         (strikes > 0).cast("int").alias("strike_flag_7d"),
     )
 
@@ -123,8 +123,9 @@ def weather_anomaly(daily: DataFrame, by: Sequence[str] = ("lane",)) -> DataFram
 def weather_flag_column(temps: Column, malformed: Column) -> Column:
     """The same test on one array of temperatures: no shuffle for payload tables."""
     n = F.size(temps)
-    mean = F.aggregate(temps, F.lit(0.0), lambda a, t: a + t) / n
-    variance = F.aggregate(temps, F.lit(0.0), lambda a, t: a + (t - mean) * (t - mean)) / n
+    mean = F.try_divide(F.aggregate(temps, F.lit(0.0), lambda a, t: a + t), n)
+    squares = F.aggregate(temps, F.lit(0.0), lambda a, t: a + (t - mean) * (t - mean))
+    variance = F.try_divide(squares, n)
     fires = _beyond(F.array_min(temps), F.array_max(temps), mean, variance)
     return F.when((n >= MIN_DAYS) & ~malformed & fires, 1).otherwise(0)
 
@@ -156,7 +157,7 @@ def trade_flow(edges: DataFrame, trailing_months: int = 3) -> DataFrame:
         .rowsBetween(-trailing_months, -1)
     )
     return monthly.withColumn("baseline_usd", F.avg("value_usd").over(trailing)).withColumn(
-        "ratio", F.when(F.col("baseline_usd") > 0, F.col("value_usd") / F.col("baseline_usd"))
+        "ratio", F.try_divide("value_usd", "baseline_usd")
     )
 
 

@@ -67,8 +67,8 @@ def _normalised(feature: str) -> Column:
     m20 = F.coalesce(before["m2"], F.lit(0.0))
     n = n0 + here["n"]
     delta = here["mean"] - mean0
-    mean = mean0 + delta * here["n"] / n
-    m2 = m20 + here["m2"] + delta * delta * n0 * here["n"] / n
+    mean = mean0 + F.try_divide(delta * here["n"], n)
+    m2 = m20 + here["m2"] + F.try_divide(delta * delta * n0 * here["n"], n)
     return squash(F.col(feature), n, mean, m2)
 
 

@@ -1,3 +1,4 @@
+import logging
 import os
 
 import pytest
@@ -20,6 +21,7 @@ def spark(tmp_path_factory):
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
