@@ -29,16 +29,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder all executors share, set up on first use."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
+    folder = context.getCheckpointDir()
+    if folder:
+        return folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="laneward-checkpoint-")
     context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,5 +51,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     placement by range) and between rounds of an iteration. The files survive
     the loss of executors.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
