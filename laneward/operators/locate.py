@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,18 +11,25 @@ from pyspark.sql import functions as F
 from laneward.dims import CITIES, COUNTRY_CITY, GAZETTEER, small_rows
 
 
-def _literal(rows: Sequence[Sequence], names: Sequence[str]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+def _literal(rows: Sequence[Sequence], fields: str) -> Column:
+    """Rows as one constant array of structs; ``fields`` is 'name:type,...'."""
+    names = [f.split(":")[0] for f in fields.split(",")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return F.from_json(F.lit(text), f"array<struct<{fields}>>")
 
 
 def _first_match(text: Column, keys: Column, both_ways: bool) -> Column:
     """First entry whose ``key`` is inside the text (or the text inside it)."""
 
-    def match(entry: Column) -> Column:
-        inside = F.contains(text, entry["key"])
-        return (inside | F.contains(entry["key"], text)) if both_ways else inside
+    def first(value: Column) -> Column:
+        def match(entry: Column) -> Column:
+            inside = F.contains(value, entry["key"])
+            return (inside | F.contains(entry["key"], value)) if both_ways else inside
 
-    return F.try_element_at(F.filter(keys, match), F.lit(1))
+        return F.try_element_at(F.filter(keys, match), F.lit(1))
+
+    # the text is bound once, not computed again for every entry
+    return F.element_at(F.transform(F.array(text), first), 1)
 
 
 def _address(col: Column) -> Column:
@@ -47,7 +55,7 @@ def geocode_lookup(df: DataFrame, addr_col: str, gazetteer: DataFrame | None = N
         return df.withColumns(
             {"place_key": empty.cast("string"), "lat": empty.cast("double"), "lon": empty.cast("double")}
         )
-    hit = _first_match(_address(F.col(addr_col)), _literal(rows, ("key", "lat", "lon")), True)
+    hit = _first_match(_address(F.col(addr_col)), _literal(rows, "key:string,lat:double,lon:double"), True)
     return (
         df.withColumn("_hit", hit)
         .withColumns({"place_key": F.col("_hit.key"), "lat": F.col("_hit.lat"), "lon": F.col("_hit.lon")})
@@ -166,8 +174,8 @@ def resolve_pair(
 def city_match_column(location: Column, cities: Sequence, countries: Sequence) -> Column:
     """City id: names by two-way containment, then country keys; '' if none."""
     text = F.lower(location)
-    by_name = _first_match(text, _literal([(name.lower(), id_) for id_, name in cities], ("key", "id")), True)
-    by_country = _first_match(text, _literal(countries, ("key", "id")), False)
+    by_name = _first_match(text, _literal([(name.lower(), id_) for id_, name in cities], "key:string,id:string"), True)
+    by_country = _first_match(text, _literal(countries, "key:string,id:string"), False)
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(
         F.coalesce(by_name["id"], by_country["id"], F.lit(""))
     )

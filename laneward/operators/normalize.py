@@ -59,7 +59,8 @@ def _history(totals: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def _normalised(feature: str) -> Column:
+def _upto(feature: str) -> Column:
+    """(n, mean, m2) of all rows up to this one: the bucket's rows merged with those before."""
     here = F.col(f"_at_{feature}")
     before = F.col("_before")[feature]
     n0 = F.coalesce(before["n"], F.lit(0.0))
@@ -69,7 +70,12 @@ def _normalised(feature: str) -> Column:
     delta = here["mean"] - mean0
     mean = mean0 + F.try_divide(delta * here["n"], n)
     m2 = m20 + here["m2"] + F.try_divide(delta * delta * n0 * here["n"], n)
-    return squash(F.col(feature), n, mean, m2)
+    return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+
+def _normalised(feature: str) -> Column:
+    stats = F.col(f"_at_{feature}")
+    return squash(F.col(feature), stats["n"], stats["mean"], stats["m2"])
 
 
 def normalize_running(
@@ -110,6 +116,7 @@ def normalize_running(
     else:
         # at most one continuing scope per bucket: fewer rows than buckets
         joined = local.join(F.broadcast(history), [BUCKET, *scope], "left")
-    return joined.select(
+    merged = joined.withColumns({f"_at_{f}": _upto(f) for f in features})
+    return merged.select(
         *[_normalised(c).alias(c) if c in features else F.col(c) for c in raw.columns]
     )

@@ -10,6 +10,7 @@ from laneward.functions.text import ENTITIES, lane_key, strip_fences
 from laneward.operators import locate, mentions, ranking, routes
 from laneward.plans import warehouse as wh
 from laneward.plans.registry import query, r6, values_sql
+from laneward.session import cut_lineage
 from laneward.sources import answers, payloads
 from laneward.sources.requests import REQUEST_SCHEMA, requests_from
 
@@ -176,7 +177,8 @@ def page_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def _entities_sql(text: str) -> str:
     for entity, shown in ENTITIES.items():
-        text = f"replace({text}, '{entity}', '{shown}')"
+        quoted = shown.replace("'", "''")
+        text = f"replace({text}, '{entity}', '{quoted}')"
     return text
 
 
@@ -282,8 +284,8 @@ def geocode_payload(spark: SparkSession, sf: str) -> DataFrame:
 SELECT g.key, g.lat, g.lon, f.feature, f.weight, c.id AS city_id, count(*) AS n_suppliers
 FROM supplier JOIN {values_sql(GAZETTEER, 'g(priority, key, lat, lon)')} ON g.priority = s_nationkey + 1
   JOIN {values_sql(CITIES, 'c(priority, id, name, x, y)')} ON c.priority = s_nationkey + 1
-  JOIN (VALUES (0, 'global_risk', 0.05), (1, 'inventory_days', 0.2), (2, 'past_delay_days', 0.2), (3, 'news_vol_7d', 0.15),
-               (4, 'neg_tone_frac_3d', 0.15), (5, 'strike_flag_7d', 0.15), (6, 'weather_anomaly_7d', 0.1))
+  JOIN (VALUES (0, 'global_risk', 0.05e0), (1, 'inventory_days', 0.2e0), (2, 'past_delay_days', 0.2e0), (3, 'news_vol_7d', 0.15e0),
+               (4, 'neg_tone_frac_3d', 0.15e0), (5, 'strike_flag_7d', 0.15e0), (6, 'weather_anomaly_7d', 0.1e0))
        AS f(slot, feature, weight) ON f.slot = s_suppkey % 7
 GROUP BY ALL""")
 def dimension_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -662,7 +664,7 @@ def undirected_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f'WITH RECURSIVE {NATION_EDGES}, {UNDIRECTED}, {BEST} SELECT start, "end", label.d AS hardship FROM best')
 def route_distances(spark: SparkSession, sf: str) -> DataFrame:
-    edges = wh.nation_edges(spark, sf)
+    edges = cut_lineage(wh.nation_edges(spark, sf))
     return routes.route_distance(edges, _nation_pairs(edges))
 
 
@@ -670,7 +672,7 @@ def route_distances(spark: SparkSession, sf: str) -> DataFrame:
 WITH RECURSIVE {NATION_EDGES}, {UNDIRECTED}, {BEST}
 SELECT start, "end", array_to_string(label.p, '>') AS path, label.d AS hardship, label.h AS hops FROM best WHERE start <> "end" """)
 def route_paths(spark: SparkSession, sf: str) -> DataFrame:
-    edges = wh.nation_edges(spark, sf)
+    edges = cut_lineage(wh.nation_edges(spark, sf))
     return routes.route_path(edges, _nation_pairs(edges)).withColumn("path", F.array_join("path", ">"))
 
 
@@ -684,7 +686,7 @@ legs AS (
 WITH RECURSIVE {NATION_EDGES}, {UNDIRECTED}, {BEST}, {LEGS}
 SELECT start, "end", leg_no, src, dst, hardship FROM legs JOIN und USING (src, dst)""")
 def route_legs(spark: SparkSession, sf: str) -> DataFrame:
-    edges = wh.nation_edges(spark, sf)
+    edges = cut_lineage(wh.nation_edges(spark, sf))
     paths = routes.route_path(edges, _nation_pairs(edges))
     return routes.route_legs(edges, paths).select("start", "end", "leg_no", "src", "dst", "hardship")
 
@@ -695,7 +697,7 @@ used AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, count(*) AS n F
 SELECT src, dst, hardship, coalesce(n, 0) AS n_routes, n IS NOT NULL AS on_route
 FROM edges LEFT JOIN used ON lo = least(src, dst) AND hi = greatest(src, dst)""")
 def route_edges(spark: SparkSession, sf: str) -> DataFrame:
-    edges = wh.nation_edges(spark, sf)
+    edges = cut_lineage(wh.nation_edges(spark, sf))
     return routes.route_edges(edges, routes.route_path(edges, _nation_pairs(edges)))
 
 

@@ -33,7 +33,9 @@ def values_sql(rows: list[tuple], names: str) -> str:
     """Fixed rows as a SQL table expression, numbered from 1 in their order."""
 
     def literal(v: object) -> str:
-        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return f"{v!r}e0" if isinstance(v, float) else repr(v)
 
     body = ", ".join("(" + ", ".join(map(literal, (n, *row))) + ")" for n, row in enumerate(rows, 1))
     return f"(VALUES {body}) AS {names}"

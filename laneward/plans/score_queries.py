@@ -175,7 +175,8 @@ def news_features_any_time(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {REQUESTS}, {WEATHER} SELECT request_id, weather_anomaly_7d FROM weather")
 def weather_anomaly_days(spark: SparkSession, sf: str) -> DataFrame:
-    return weather_anomaly(wh.weather_rows(wh.table(spark, sf, "events")), ["request_id"])
+    events = wh.table(spark, sf, "events")
+    return weather_anomaly(wh.weather_rows(wh.requests(events), events), ["request_id"])
 
 
 @query(f"WITH {TRADE} SELECT lane, round(inventory_days, 6) AS inventory_days, round(past_delay_days, 6) AS past_delay_days FROM trade")
@@ -208,11 +209,11 @@ WITH {EDGE_LINES}, monthly AS (
 flow AS (
   SELECT *, avg(v) OVER (PARTITION BY exporter, importer ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b
   FROM monthly)
-SELECT exporter, importer, month, round(v, 2) AS value_usd, round(b, 2) AS baseline_usd, round(v / b, 6) AS ratio FROM flow""")
+SELECT exporter, importer, month, round(v, 2) AS value_usd, round(b, 4) AS baseline_usd, round(v / b, 6) AS ratio FROM flow""")
 def trade_flow_monthly(spark: SparkSession, sf: str) -> DataFrame:
     flow = trade_flow(_trade_edges(spark, sf))
     return flow.withColumns(
-        {"value_usd": F.round("value_usd", 2), "baseline_usd": F.round("baseline_usd", 2), "ratio": r6("ratio")}
+        {"value_usd": F.round("value_usd", 2), "baseline_usd": F.round("baseline_usd", 4), "ratio": r6("ratio")}
     )
 
 
@@ -299,7 +300,7 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 STATS = " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, CAST(count({c}) AS DOUBLE) AS \"count\", round(avg({c}), 6) AS mean,"
+    f"SELECT '{f}' AS feature, CAST(count({c}) AS DOUBLE) AS \"count\", round(avg({c}), 4) AS mean,"
     f" round(var_pop({c}), 6) AS var_pop FROM lineitem"
     for f, c in (("quantity", "l_quantity"), ("discount", "l_discount"), ("tax", "l_tax"))
 )
@@ -315,7 +316,7 @@ def _stats_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _shown(state: DataFrame) -> DataFrame:
-    return state.select("feature", "count", r6("mean").alias("mean"), r6(F.col("M2") / F.col("count")).alias("var_pop"))
+    return state.select("feature", "count", F.round("mean", 4).alias("mean"), r6(F.col("M2") / F.col("count")).alias("var_pop"))
 
 
 @query(STATS)
@@ -420,7 +421,7 @@ def normalize_from_state(spark: SparkSession, sf: str) -> DataFrame:
 ORDER_VALUES = """
 vals AS (
   SELECT o_orderkey AS request_id,
-         o_totalprice / 500000 AS inventory_days,
+         o_totalprice / 499999 AS inventory_days,
          dayofyear(o_orderdate) / 366 AS past_delay_days,
          month(o_orderdate) / 12 AS news_vol_7d,
          day(o_orderdate) / 31 AS neg_tone_frac_3d,
@@ -435,7 +436,7 @@ def order_values(spark: SparkSession, sf: str) -> DataFrame:
     """Six value columns per order; global_risk is missing, strike often null."""
     return wh.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("request_id"),
-        (F.col("o_totalprice") / 500000).alias("inventory_days"),
+        (F.col("o_totalprice") / 499999).alias("inventory_days"),
         (F.dayofyear("o_orderdate") / 366).alias("past_delay_days"),
         (F.month("o_orderdate") / 12).alias("news_vol_7d"),
         (F.dayofmonth("o_orderdate") / 31).alias("neg_tone_frac_3d"),
@@ -467,12 +468,12 @@ def risk_scores_long(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT o_orderkey AS request_id, round(least(greatest(o_totalprice / 400000 - 0.1, 0.0), 1.0), 6) AS score,
-       {LABEL.format(x="least(greatest(o_totalprice / 400000 - 0.1, 0.0), 1.0)")} AS label,
-       round(least(greatest(o_totalprice / 400000 - 0.1, 0.0), 1.0) * 100, 2) AS percent
+SELECT o_orderkey AS request_id, round(least(greatest(o_totalprice / 399999 - 0.1, 0.0), 1.0), 6) AS score,
+       {LABEL.format(x="least(greatest(o_totalprice / 399999 - 0.1, 0.0), 1.0)")} AS label,
+       round(least(greatest(o_totalprice / 399999 - 0.1, 0.0), 1.0) * 100, 2) AS percent
 FROM orders""")
 def clip_label_percent(spark: SparkSession, sf: str) -> DataFrame:
-    score = clip01(F.col("o_totalprice") / 400000 - 0.1)
+    score = clip01(F.col("o_totalprice") / 399999 - 0.1)
     return wh.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("request_id"),
         r6(score).alias("score"),

@@ -1 +1,81 @@
-"""Streaming queries, each run to the end of its input."""
+"""Streaming queries over the warehouse, each run to the end of its input."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from laneward.plans import warehouse as wh
+from laneward.plans import place_queries, score_queries  # noqa: F401 (their SQL is shared)
+from laneward.plans.registry import ORACLE, query, r6
+from laneward.session import shared_folder
+from laneward.streaming.mentions import news_features_stream
+from laneward.streaming.stateful import normalize_stream, reuse_stream
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = wh.table(spark, sf, name).schema
+    # a pattern, so that a table may be one file or a folder of files
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
+
+
+def _run(writer: DataStreamWriter, folder: str) -> None:
+    started = writer.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+    started.awaitTermination()
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query("""
+WITH mentions AS (
+  SELECT user_id AS lane, event_id, ts, event_type = 'error' AS negative, event_type = 'error' AND value > 150.0 AS strike
+  FROM events WHERE event_type <> 'signup'),
+ends AS (
+  SELECT lane, m.*, CAST(CAST(ts - INTERVAL 1 MICROSECOND AS DATE) + CAST(k AS INTEGER) AS TIMESTAMP) AS as_of
+  FROM mentions m, range(1, 8) t(k))
+SELECT lane, strftime(as_of, '%Y-%m-%d') AS as_of, CAST(count(*) AS INTEGER) AS news_vol_7d,
+       round(coalesce(avg(CASE WHEN ts > as_of - INTERVAL 3 DAY THEN CAST(negative AS DOUBLE) END), 0.0), 6) AS neg_tone_frac_3d,
+       CAST(max(CAST(strike AS INTEGER)) AS INTEGER) AS strike_flag_7d
+FROM ends
+WHERE as_of <= (SELECT max(ts) - INTERVAL 1 MICROSECOND - INTERVAL 1 DAY FROM mentions)
+GROUP BY lane, as_of""".replace("SELECT lane, m.*,", "SELECT m.*,"))
+def news_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The closed windows of a one-day watermark."""
+    folder = _folder(spark)
+    feats = news_features_stream(wh.mentions(_stream(spark, sf, "events")))
+    _run(feats.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append"), folder)
+    return spark.read.parquet(f"{folder}/out").select(
+        "lane",
+        F.date_format("as_of", "yyyy-MM-dd").alias("as_of"),
+        "news_vol_7d",
+        r6("neg_tone_frac_3d").alias("neg_tone_frac_3d"),
+        "strike_flag_7d",
+    )
+
+
+@query(ORACLE["normalize_orders"])
+def normalize_order_stream(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _folder(spark)
+    raw = _stream(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("price")
+    )
+    _run(normalize_stream(raw, ["price"], f"{folder}/state", f"{folder}/out"), folder)
+    return spark.read.parquet(f"{folder}/out").select("request_id", r6("price").alias("price"))
+
+
+@query(ORACLE["reuse_within_15_minutes"])
+def reuse_request_stream(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _folder(spark)
+    customer = wh.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    asked = _stream(spark, sf, "events").join(customer, F.col("user_id") == F.col("c_custkey")).select(
+        F.col("event_id").alias("request_id"),
+        F.col("c_nationkey").alias("lane"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+    )
+    _run(reuse_stream(asked, f"{folder}/state", f"{folder}/out"), folder)
+    return spark.read.parquet(f"{folder}/out").select("lane", "request_id", "source_request_id", "is_reuse")

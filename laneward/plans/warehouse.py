@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laneward.operators.features import news_features, trade_signals, weather_anomaly
+from laneward.session import cut_lineage
+
 STRIKE_ABOVE = 150.0
 DAYS_BACK = 6
 
@@ -40,7 +43,7 @@ def mentions(events: DataFrame) -> DataFrame:
     )
 
 
-def weather_rows(events: DataFrame) -> DataFrame:
+def weather_rows(asked: DataFrame, events: DataFrame) -> DataFrame:
     """Seven trailing daily means per request, as (request_id, provider, day_no, temp).
 
     Each lane-day is handed on to the seven days it is part of, so the rows
@@ -53,8 +56,7 @@ def weather_rows(events: DataFrame) -> DataFrame:
         "lane", "temp", F.posexplode(F.sequence(F.lit(0), F.lit(DAYS_BACK))).alias("back", "_n"), "on"
     ).select("lane", "temp", "back", F.expr("date_add(on, back)").alias("day"))
     return (
-        requests(events)
-        .select("request_id", "lane", "day")
+        asked.select("request_id", "lane", "day")
         .join(reach, ["lane", "day"])
         .select(
             "request_id",
@@ -117,16 +119,15 @@ def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lane_features(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Requests and their feature tables, ready for the batch analysis."""
-    from laneward.operators.features import news_features, trade_signals, weather_anomaly
-
     events = table(spark, sf_dir, "events")
-    asked = requests(events)
+    # derived once: every feature table and the assembly start from the requests
+    asked = cut_lineage(requests(events))
     trade = trade_signals(shipments(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")))
     return {
         "requests": asked,
         # all request times are midnights: mentions are added up per day first
         "news": news_features(asked, mentions(events), grain="day"),
-        "weather": weather_anomaly(weather_rows(events), ["request_id"]),
+        "weather": weather_anomaly(weather_rows(asked, events), ["request_id"]),
         "trade": asked.select("request_id", "lane").join(trade, "lane").drop("lane"),
         "pressure": pressure_days(events),
     }
