@@ -11,9 +11,10 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
-def kind(value: Column) -> Column:
-    """Outer type of a variant: OBJECT, ARRAY, STRING, VOID, a number type."""
-    return F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)
+def is_kind(value: Column, name: str) -> Column:
+    """Whether a variant's outer type is OBJECT, ARRAY, STRING or VOID."""
+    shape = F.schema_of_variant(value)
+    return F.startswith(shape, F.lit(f"{name}<")) if name in ("OBJECT", "ARRAY") else shape == name
 
 
 def field(value: Column, path: str, as_type: str = "variant") -> Column:
@@ -26,4 +27,4 @@ def is_missing(value: Column, path: str) -> Column:
 
 def number(value: Column, path: str) -> Column:
     """A JSON number as double; texts do not count."""
-    return F.when(kind(field(value, path)) != "STRING", field(value, path, "double"))
+    return F.when(~is_kind(field(value, path), "STRING"), field(value, path, "double"))

@@ -120,14 +120,44 @@ def weather_anomaly(daily: DataFrame, by: Sequence[str] = ("lane",)) -> DataFram
     )
 
 
-def weather_flag_column(temps: Column, malformed: Column) -> Column:
-    """The same test on one array of temperatures: no shuffle for payload tables."""
-    n = F.size(temps)
-    mean = F.try_divide(F.aggregate(temps, F.lit(0.0), lambda a, t: a + t), n)
-    squares = F.aggregate(temps, F.lit(0.0), lambda a, t: a + (t - mean) * (t - mean))
-    variance = F.try_divide(squares, n)
-    fires = _beyond(F.array_min(temps), F.array_max(temps), mean, variance)
-    return F.when((n >= MIN_DAYS) & ~malformed & fires, 1).otherwise(0)
+def weather_sums(days: Column) -> Column:
+    """(n, base, s, q, low, high, broken) of an array of days with ``temp``, in one pass.
+
+    Sums are taken around the first temperature, so that squares do not cancel.
+    """
+    nothing = F.lit(None).cast("double")
+    start = F.struct(
+        F.lit(0).alias("n"),
+        nothing.alias("base"),
+        F.lit(0.0).alias("s"),
+        F.lit(0.0).alias("q"),
+        nothing.alias("low"),
+        nothing.alias("high"),
+        F.lit(False).alias("broken"),
+    )
+
+    def add(acc: Column, day: Column) -> Column:
+        base = F.coalesce(acc["base"], day["temp"])
+        off = F.coalesce(day["temp"] - base, F.lit(0.0))
+        return F.struct(
+            (acc["n"] + 1).alias("n"),
+            base.alias("base"),
+            (acc["s"] + off).alias("s"),
+            (acc["q"] + off * off).alias("q"),
+            F.least(acc["low"], day["temp"]).alias("low"),
+            F.greatest(acc["high"], day["temp"]).alias("high"),
+            (acc["broken"] | day["temp"].isNull()).alias("broken"),
+        )
+
+    return F.aggregate(days, start, add)
+
+
+def weather_flag_column(sums: Column) -> Column:
+    """The same test on the sums of one payload: no shuffle for payload tables."""
+    shift = F.try_divide(sums["s"], sums["n"])
+    variance = F.try_divide(sums["q"], sums["n"]) - shift * shift
+    fires = _beyond(sums["low"], sums["high"], sums["base"] + shift, variance)
+    return F.when((sums["n"] >= MIN_DAYS) & ~sums["broken"] & fires, 1).otherwise(0)
 
 
 def trade_signals(shipments: DataFrame) -> DataFrame:

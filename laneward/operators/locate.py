@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,18 +19,42 @@ def _literal(rows: Sequence[Sequence], fields: str) -> Column:
     return F.from_json(F.lit(text), f"array<struct<{fields}>>")
 
 
-def _first_match(text: Column, keys: Column, both_ways: bool) -> Column:
-    """First entry whose ``key`` is inside the text (or the text inside it)."""
+def _starting_key(keys: Sequence[str]) -> str:
+    """Pattern that captures, at each position, the first key starting there.
+
+    Keys are grouped by first letter, which keeps their order where it matters
+    and spares most comparisons.
+    """
+    groups: dict[str, list[str]] = {}
+    for key in keys:
+        groups.setdefault(key[0], []).append(re.escape(key[1:]))
+    choices = [f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in groups.items()]
+    return "(?s)(?=(" + "|".join(choices) + "))"
 
-    def first(value: Column) -> Column:
-        def match(entry: Column) -> Column:
-            inside = F.contains(value, entry["key"])
-            return (inside | F.contains(entry["key"], value)) if both_ways else inside
 
-        return F.try_element_at(F.filter(keys, match), F.lit(1))
+def _first_match(text: str, rows: Sequence[Sequence], fields: str, both_ways: bool) -> Column:
+    """First of ``rows`` whose leading key is inside the text column (or the
+    text inside the key).
 
-    # the text is bound once, not computed again for every entry
-    return F.element_at(F.transform(F.array(text), first), 1)
+    One pattern finds, at each position of the text, the first key in list
+    order that starts there; the smallest list position among these is the
+    first key inside the text. The opposite direction is looked at only if the
+    text occurs in some key at all.
+    """
+    listed = [row[0] for row in rows]
+    keys = F.from_json(F.lit(json.dumps(listed)), "array<string>")
+    found = F.regexp_extract_all(text, F.lit(_starting_key([k for k in listed if k])), 1)
+    place = F.array_min(F.transform(found, lambda key: F.array_position(keys, key)))
+    if "" in listed:  # an empty key is inside every text
+        place = F.least(place, F.when(F.col(text).isNotNull(), F.array_position(keys, F.lit(""))))
+    if both_ways:
+        holds = F.transform(keys, lambda key: F.contains(key, F.col(text)))
+        short = F.length(text) <= max(map(len, listed))
+        around = F.when(
+            short & F.contains(F.lit("\n".join(listed)), F.col(text)), F.array_position(holds, F.lit(True))
+        )
+        place = F.least(place, F.when(around > 0, around))
+    return F.try_element_at(_literal(rows, fields), place.cast("int"))
 
 
 def _address(col: Column) -> Column:
@@ -55,11 +80,11 @@ def geocode_lookup(df: DataFrame, addr_col: str, gazetteer: DataFrame | None = N
         return df.withColumns(
             {"place_key": empty.cast("string"), "lat": empty.cast("double"), "lon": empty.cast("double")}
         )
-    hit = _first_match(_address(F.col(addr_col)), _literal(rows, "key:string,lat:double,lon:double"), True)
     return (
-        df.withColumn("_hit", hit)
+        df.withColumn("_addr", _address(F.col(addr_col)))
+        .withColumn("_hit", _first_match("_addr", rows, "key:string,lat:double,lon:double", True))
         .withColumns({"place_key": F.col("_hit.key"), "lat": F.col("_hit.lat"), "lon": F.col("_hit.lon")})
-        .drop("_hit")
+        .drop("_addr", "_hit")
     )
 
 
@@ -171,16 +196,6 @@ def resolve_pair(
     return side(side(requests, "seller_location", "seller"), "import_location", "import")
 
 
-def city_match_column(location: Column, cities: Sequence, countries: Sequence) -> Column:
-    """City id: names by two-way containment, then country keys; '' if none."""
-    text = F.lower(location)
-    by_name = _first_match(text, _literal([(name.lower(), id_) for id_, name in cities], "key:string,id:string"), True)
-    by_country = _first_match(text, _literal(countries, "key:string,id:string"), False)
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(
-        F.coalesce(by_name["id"], by_country["id"], F.lit(""))
-    )
-
-
 def city_match(
     df: DataFrame,
     loc_col: str,
@@ -188,7 +203,8 @@ def city_match(
     cities: DataFrame | None = None,
     country_city: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the city a location stands for. The text is not trimmed.
+    """Add the city a location stands for: names by two-way containment, then
+    country keys inside the location; '' if none. The text is not trimmed.
 
     City lists are map nodes: they must fit DIMENSION_ROW_LIMIT and become an
     ordered literal, so the match is one projection.
@@ -199,7 +215,15 @@ def city_match(
         names = [tuple(r)[1:] for r in _ordered(cities.select("priority", "id", "name"))]
     if country_city is not None:
         countries = [tuple(r)[1:] for r in _ordered(country_city.select("priority", "key", "city_id"))]
-    return df.withColumn(out_col, city_match_column(F.col(loc_col), names, countries))
+    named = [(name.lower(), id_) for id_, name in names]
+    by_name = _first_match("_text", named, "key:string,id:string", True)
+    by_country = _first_match("_text", countries, "key:string,id:string", False)
+    city = F.coalesce(by_name["id"], by_country["id"], F.lit(""))
+    return (
+        df.withColumn("_text", F.lower(loc_col))
+        .withColumn(out_col, F.when(F.coalesce("_text", F.lit("")) == "", F.lit("")).otherwise(city))
+        .drop("_text")
+    )
 
 
 def _ordered(dim: DataFrame) -> list:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneward.dims import SEARCH_TEMPLATES
+from laneward.session import cut_lineage
 
 HOT_TERM = 100_000
+BROADCAST_TERMS = 100_000
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -65,9 +67,6 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     unless a query has no better one. Candidates are then checked in full.
     Words found in more than HOT_TERM documents are split by document.
     """
-    doc_terms = docs.select("doc_id", terms(F.col("text")).alias("doc_terms"))
-    postings = doc_terms.select("doc_id", F.explode("doc_terms").alias("term"))
-
     required, any_of = query_terms(F.col("query"))
     wanted = queries.select("query").distinct().select(
         "query", required.alias("required"), any_of.alias("any_of")
@@ -80,9 +79,11 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
         no_required.alias("by_any"),
         F.explode(F.when(no_required, F.col("any_of")).otherwise(F.col("required"))).alias("term"),
     )
-    # only words that queries ask for are counted and kept
-    asked = lookups.select("term").distinct()
-    postings = postings.join(asked, "term", "left_semi")
+    # texts are read once; only words that some query asks for are kept
+    asked = wanted.select(F.explode(F.array_union("required", "any_of")).alias("term")).distinct()
+    words = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term"))
+    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    postings = cut_lineage(words.join(F.broadcast(asked) if small else asked, "term", "left_semi"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = lookups.join(frequency, "term", "left")
 
@@ -108,8 +109,9 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     holds = (F.size(F.array_except("required", "doc_terms")) == 0) & (
         (F.size("any_of") == 0) | F.arrays_overlap("any_of", "doc_terms")
     )
+    present = postings.groupBy("doc_id").agg(F.collect_set("term").alias("doc_terms"))
     # a query without required words may reach a document by several alternatives
-    return candidates.join(doc_terms, "doc_id").where(holds).select("query", "doc_id").distinct()
+    return candidates.join(present, "doc_id").where(holds).select("query", "doc_id").distinct()
 
 
 def requests_of_matches(queries: DataFrame, matches: DataFrame) -> DataFrame:

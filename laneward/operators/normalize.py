@@ -14,7 +14,7 @@ from laneward.operators.stats import stats_long
 REQUEST_ORDER = ("created_at", "request_id")
 
 
-def _history(totals: DataFrame, groups: list[str]) -> DataFrame:
+def _history(totals: DataFrame, groups: list[str], features: Sequence[str]) -> DataFrame:
     """For each bucket, the merged statistics of all buckets before it.
 
     Merging bucket k with mean m into (N, mu) adds
@@ -55,14 +55,14 @@ def _history(totals: DataFrame, groups: list[str]) -> DataFrame:
         merged.select(BUCKET, *groups, "feature", before.alias("before"))
         .where(F.col("before.n").isNotNull())
         .groupBy(BUCKET, *groups)
-        .agg(F.map_from_entries(F.collect_list(F.struct("feature", "before"))).alias("_before"))
+        .agg(*[F.max(F.when(F.col("feature") == f, F.col("before"))).alias(f"_before_{f}") for f in features])
     )
 
 
 def _upto(feature: str) -> Column:
     """(n, mean, m2) of all rows up to this one: the bucket's rows merged with those before."""
     here = F.col(f"_at_{feature}")
-    before = F.col("_before")[feature]
+    before = F.col(f"_before_{feature}")
     n0 = F.coalesce(before["n"], F.lit(0.0))
     mean0 = F.coalesce(before["mean"], here["mean"])
     m20 = F.coalesce(before["m2"], F.lit(0.0))
@@ -98,7 +98,7 @@ def normalize_running(
     totals = stats_long(rows, [BUCKET, *scope], features)
     if state is not None:
         totals = totals.unionByName(state.withColumn(BUCKET, F.lit(-1)))
-    history = _history(totals, scope).where(f"{BUCKET} >= 0")
+    history = _history(totals, scope, features).where(f"{BUCKET} >= 0")
 
     window = bucket_window(scope, order)
     running = {

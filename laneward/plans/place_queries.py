@@ -524,7 +524,7 @@ GAZETTEER_SQL = values_sql(GAZETTEER, "g(priority, key, lat, lon)")
 
 def _place_of(nation: str) -> Column:
     """A city name for each nation key, taken from the city list."""
-    names = F.array(*[F.lit(name) for _, name, _, _ in CITIES])
+    names = F.split(F.lit("|".join(name for _, name, _, _ in CITIES)), r"\|")
     return F.try_element_at(names, (F.col(nation) + 1).cast("int"))
 
 
@@ -718,5 +718,5 @@ FROM matched m LEFT JOIN best b ON b.start = m.start AND b."end" = m."end" AND m
 def lane_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Every order line routed over the city graph, counted per lane."""
     lanes = _lane_places(spark, sf).groupBy("seller_location", "import_location").agg(F.count(F.lit(1)).alias("n_lines"))
-    found = routes.lane_routes(lanes, dims(spark)["graph_edges"])
+    found = routes.lane_routes(cut_lineage(lanes), dims(spark)["graph_edges"])
     return found.select("seller_location", "import_location", "start", "end", "n_lines", "hardship", "route")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneward.functions.text import strip_fences
-from laneward.functions.variant import field, is_missing, kind, parsed
+from laneward.functions.variant import field, is_kind, is_missing, parsed
 from laneward.sources.payloads import valid_edges
 
 
@@ -55,7 +55,7 @@ def _decoded(value: Column, spec: AnswerField) -> Column:
     path = f"$.{spec.name}"
     found = field(value, path, spec.type)
     if spec.optional:
-        found = F.when(kind(field(value, path)) == "STRING", found)
+        found = F.when(is_kind(field(value, path), "STRING"), found)
     default = F.lit(spec.default).cast(spec.type)
     return F.when(is_missing(value, path), default).otherwise(found)
 
@@ -65,7 +65,7 @@ def _failed(value: Column, spec: AnswerField) -> Column:
     path = f"$.{spec.name}"
     present = ~is_missing(value, path)
     if spec.optional:
-        return present & ~kind(field(value, path)).isin("STRING", "VOID")
+        return present & ~is_kind(field(value, path), "STRING") & ~is_kind(field(value, path), "VOID")
     return present & field(value, path, spec.type).isNull()
 
 
@@ -76,7 +76,7 @@ def feature_json(df: DataFrame, text: str, spec: Sequence[AnswerField]) -> DataF
     field that does not convert, gives the whole record its defaults.
     """
     value = F.col("_v")
-    bad = value.isNull() | (kind(value) != "OBJECT")
+    bad = value.isNull() | ~is_kind(value, "OBJECT")
     for item in spec:
         bad = bad | _failed(value, item)
     bad = F.coalesce(bad, F.lit(True))
@@ -101,7 +101,7 @@ def trade_json(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     value = F.col("_v")
     given = F.coalesce(parsed(strip_fences(F.col(text))), F.parse_json(F.lit("{}")))
     edges = field(value, "$.edges", "array<variant>")
-    bad = (kind(value) != "OBJECT") | (~is_missing(value, "$.edges") & edges.isNull())
+    bad = ~is_kind(value, "OBJECT") | (~is_missing(value, "$.edges") & edges.isNull())
     for item in TRADE_ANSWER:
         bad = bad | _failed(value, item)
     no_edges = F.expr(

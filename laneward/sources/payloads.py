@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneward.functions.text import PAGE_TEXT_CAP, page_text_column
-from laneward.functions.variant import field, kind, number, parsed
-from laneward.operators.features import weather_flag_column
+from laneward.functions.variant import field, is_kind, number, parsed
+from laneward.operators.features import weather_flag_column, weather_sums
 
 # Provider, path of the day list, object of a day, temperature in it
 WEATHER_SHAPES = [
@@ -18,51 +18,52 @@ WEATHER_SHAPES = [
 ]
 
 
-def _weather_days(payload: Column, path: str, holder: str, leaf: str) -> Column:
-    """Days that have the holder object, as (day_no, temp, malformed)."""
-    days = field(payload, path, "array<variant>")
-    listed = F.transform(
-        days,
-        lambda d, i: F.struct(
-            (i + 1).alias("day_no"),
-            number(d, f"$.{holder}.{leaf}").alias("temp"),
-            field(d, f"$.{holder}").isNotNull().alias("has"),
-        ),
-    )
-    return F.transform(
-        F.filter(listed, lambda d: d["has"]),
-        lambda d: F.struct(d["day_no"], d["temp"], d["temp"].isNull().alias("malformed")),
-    )
-
-
 def weather_daily(raw: DataFrame, by: Sequence[str] = ("lane",), payload: str = "payload") -> DataFrame:
-    """(by, provider, day_no, temp, malformed) rows of both payload shapes."""
+    """(by, provider, day_no, temp, malformed) rows of both payload shapes.
+
+    Days without the holder object are skipped; a day whose holder has no
+    numeric temperature is malformed.
+    """
     value = raw.select(*by, parsed(F.col(payload)).alias("_v"))
     parts = [
-        value.select(*by, F.lit(provider).alias("provider"), F.inline(_weather_days(F.col("_v"), *shape)))
-        for provider, *shape in WEATHER_SHAPES
+        value.select(
+            *by,
+            F.lit(provider).alias("provider"),
+            F.posexplode(field(F.col("_v"), path, "array<variant>")).alias("_pos", "_day"),
+        )
+        .select(
+            *by,
+            "provider",
+            (F.col("_pos") + 1).alias("day_no"),
+            field(F.col("_day"), f"$.{holder}").alias("_held"),
+            number(F.col("_day"), f"$.{holder}.{leaf}").alias("temp"),
+        )
+        .where("_held is not null")
+        .select(*by, "provider", "day_no", "temp", F.col("temp").isNull().alias("malformed"))
+        for provider, path, holder, leaf in WEATHER_SHAPES
     ]
     return parts[0].unionByName(parts[1])
 
 
+def _held_days(payload: Column, path: str, holder: str, leaf: str) -> Column:
+    """Days of one shape that have the holder object, as an array of (temp, has)."""
+    days = F.transform(
+        field(payload, path, "array<variant>"),
+        lambda d: F.struct(
+            number(d, f"$.{holder}.{leaf}").alias("temp"), field(d, f"$.{holder}").isNotNull().alias("has")
+        ),
+    )
+    return F.filter(days, lambda d: d["has"])
+
+
 def weather_flags(raw: DataFrame, by: Sequence[str] = ("lane",), payload: str = "payload") -> DataFrame:
     """(by, weather_anomaly_7d), one row per payload, computed inside the row."""
     value = raw.select(*by, parsed(F.col(payload)).alias("_v"))
-    days = {
-        f"_d{n}": F.coalesce(
-            _weather_days(F.col("_v"), *shape),
-            F.expr("cast(array() as array<struct<day_no:int,temp:double,malformed:boolean>>)"),
-        )
-        for n, (_, *shape) in enumerate(WEATHER_SHAPES)
+    sums = {
+        f"_s{n}": weather_sums(_held_days(F.col("_v"), *shape)) for n, (_, *shape) in enumerate(WEATHER_SHAPES)
     }
-    listed = value.withColumns(days)
-    flags = [
-        weather_flag_column(
-            F.col(f"{d}.temp"), F.exists(F.col(d), lambda x: x["malformed"])
-        )
-        for d in days
-    ]
-    return listed.select(*by, F.greatest(*flags).alias("weather_anomaly_7d"))
+    flags = [weather_flag_column(F.col(s)) for s in sums]
+    return value.withColumns(sums).select(*by, F.greatest(*flags).alias("weather_anomaly_7d"))
 
 
 RESULTS_PER_QUERY = 6
@@ -94,27 +95,25 @@ def page_text(pages: DataFrame, html: str = "html", cap: int = PAGE_TEXT_CAP) ->
     return pages.where(F.col(html).isNotNull()).withColumn("text", page_text_column(F.col(html), cap))
 
 
-def edge_items(edges: Column) -> Column:
-    """Edges of an array variant as structs; a field of the wrong type is null."""
+def _edge_fields(edge: Column) -> dict[str, Column]:
+    """The four fields of an edge; one of the wrong type is null."""
 
-    def text(e: Column, name: str) -> Column:
-        return F.when(kind(field(e, f"$.{name}")) == "STRING", field(e, f"$.{name}", "string"))
+    def text(name: str) -> Column:
+        return F.when(is_kind(field(edge, f"$.{name}"), "STRING"), field(edge, f"$.{name}", "string"))
 
-    return F.transform(
-        edges,
-        lambda e: F.struct(
-            text(e, "exporter").alias("exporter"),
-            text(e, "importer").alias("importer"),
-            field(e, "$.trade_value_usd", "double").alias("trade_value_usd"),
-            text(e, "timestamp").alias("timestamp"),
-        ),
-    )
+    return {
+        "exporter": text("exporter"),
+        "importer": text("importer"),
+        "trade_value_usd": field(edge, "$.trade_value_usd", "double"),
+        "timestamp": text("timestamp"),
+    }
 
 
 def valid_edges(edges: Column) -> Column:
-    """Edges with all four fields; each invalid edge drops out alone."""
+    """Edges of an array variant that have all four fields, as structs."""
+    items = F.transform(edges, lambda e: F.struct(*[c.alias(n) for n, c in _edge_fields(e).items()]))
     return F.filter(
-        edge_items(edges),
+        items,
         lambda e: e["exporter"].isNotNull()
         & e["importer"].isNotNull()
         & e["trade_value_usd"].isNotNull()
@@ -123,9 +122,12 @@ def valid_edges(edges: Column) -> Column:
 
 
 def edges_valid(df: DataFrame, by: Sequence[str] = ("request_id",), edges: str = "edges") -> DataFrame:
-    """Valid edges of a JSON array column, one per row."""
-    listed = F.try_variant_get(parsed(F.col(edges)), "$", "array<variant>")
-    return df.select(*by, F.inline(valid_edges(listed)))
+    """Valid edges of a JSON array column, one per row; an invalid edge drops out alone."""
+    listed = field(parsed(F.col(edges)), "$", "array<variant>")
+    items = df.select(*by, F.explode(listed).alias("_edge"))
+    return items.select(*by, *[c.alias(n) for n, c in _edge_fields(F.col("_edge")).items()]).dropna(
+        subset=["exporter", "importer", "trade_value_usd", "timestamp"]
+    )
 
 
 def _coordinate(item: Column, long_name: str, short_name: str) -> Column:
@@ -136,7 +138,7 @@ def _coordinate(item: Column, long_name: str, short_name: str) -> Column:
         first.isNull()
         | (first == "")
         | (first == "false")
-        | ((kind(field(item, f"$.{long_name}")) != "STRING") & (F.coalesce(first_value, F.lit(1.0)) == 0))
+        | (~is_kind(field(item, f"$.{long_name}"), "STRING") & (F.coalesce(first_value, F.lit(1.0)) == 0))
     )
     value = F.when(empty, field(item, f"$.{short_name}", "double")).otherwise(first_value)
     return F.when(value != 0, value)
@@ -155,9 +157,9 @@ def geocode_payload(raw: DataFrame, by: Sequence[str] = ("address",), payload: s
     value = parsed(F.col(payload))
     results = F.coalesce(_filled(field(F.col("_v"), "$.copResults")), _filled(field(F.col("_v"), "$.results")))
     item = (
-        F.when(kind(F.col("_v")) == "ARRAY", field(F.col("_v"), "$[0]"))
-        .when(kind(F.col("_r")) == "ARRAY", field(F.col("_r"), "$[0]"))
-        .when(kind(F.col("_r")) == "OBJECT", F.col("_r"))
+        F.when(is_kind(F.col("_v"), "ARRAY"), field(F.col("_v"), "$[0]"))
+        .when(is_kind(F.col("_r"), "ARRAY"), field(F.col("_r"), "$[0]"))
+        .when(is_kind(F.col("_r"), "OBJECT"), F.col("_r"))
         .otherwise(F.col("_v"))
     )
     lat = _coordinate(F.col("_item"), "latitude", "lat")

@@ -140,3 +140,14 @@ def test_geocoder_answers(spark):
     df = spark.createDataFrame(list(cases.items()) and [(k, k) for k in cases], "address string, payload string")
     got = {r.address: (r.lat, r.lon) for r in geocode_payload(df).collect()}
     assert got == cases
+
+
+def test_short_gazetteer_against_brute_force(spark):
+    rnd = random.Random(6)
+    word = lambda k: "".join(rnd.choice("ab.c (") for _ in range(k)).strip()
+    keys = [(n, word(rnd.randrange(1, 6)) or "b", float(n), 1.0) for n in range(40)]
+    addresses = sorted({word(rnd.randrange(0, 9)) for _ in range(400)})
+    for rows in (keys, [*keys[:20], (20, "", 0.0, 0.0), *keys[21:]]):
+        got = geocode_lookup(texts(spark, addresses), "loc", spark.createDataFrame(rows, d.GAZETTEER_SCHEMA)).collect()
+        want = {a: next((k for _, k, _, _ in rows if k in a or a in k), None) for a in addresses}
+        assert {r["loc"]: r.place_key for r in got} == want
