@@ -210,28 +210,24 @@ def asof_features(
     requests: request_id, lane, created_at. feats: lane, computed_at and any
     feature columns. A row whose age has reached the tolerance is too old.
     """
-    payload = [c for c in feats.columns if c not in ("lane",)]
-    feature_row = F.struct(*payload)
+    payload = [c for c in feats.columns if c != "lane"]
     id_type = requests.schema["request_id"].dataType
-    timeline = feats.select(
-        "lane",
-        F.col(computed).cast("timestamp").alias("at"),
-        F.lit(0).alias("side"),
-        # unique among the feature rows of one instant, so that ties can be split
-        F.xxhash64("lane", *payload).alias("tie"),
-        F.lit(None).cast(id_type).alias("request_id"),
-        feature_row.alias("row"),
+    # copies collapse before they are shuffled; of several rows at one time the largest counts
+    newest = feats.groupBy("lane", F.col(computed).cast("timestamp").alias("at")).agg(
+        F.max(F.struct(*payload)).alias("row")
+    )
+    timeline = newest.select(
+        "lane", "at", F.lit(0).alias("side"), F.lit(None).cast(id_type).alias("request_id"), "row"
     ).unionByName(
         requests.select(
             "lane",
             F.col("created_at").cast("timestamp").alias("at"),
             F.lit(1).alias("side"),
-            F.xxhash64("request_id").alias("tie"),
             "request_id",
-            F.lit(None).cast(feats.select(feature_row.alias("row")).schema["row"].dataType).alias("row"),
+            F.lit(None).cast(newest.schema["row"].dataType).alias("row"),
         )
     )
-    found = last_known(timeline, ["lane"], ["at", "side", "tie"], "row", buckets).where("side = 1")
+    found = last_known(timeline, ["lane"], ["at", "side", "request_id"], "row", buckets).where("side = 1")
     age = F.unix_micros("at") - F.unix_micros(F.col(f"row.{computed}").cast("timestamp"))
     fresh = F.when(age < tolerance_s * 1_000_000, F.col("row"))
     return found.select("request_id", "lane", F.col("at").alias("created_at"), fresh.alias("row")).select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneward.dims import CITIES, COUNTRY_CITY, GAZETTEER, small_rows
+from laneward.session import cut_lineage
 
 
 def _literal(rows: Sequence[Sequence], fields: str) -> Column:
@@ -150,6 +151,9 @@ def _geocode_by_substring(df: DataFrame, addr_col: str, gazetteer: DataFrame) ->
     )
 
 
+BROADCAST_PLACES = 100_000
+
+
 def geocode_resolve(
     df: DataFrame,
     addr_col: str,
@@ -174,7 +178,9 @@ def geocode_resolve(
         .select(addr_col, F.coalesce("_p1", "_p2", "_p3").alias("_place"))
         .select(addr_col, F.col("_place.lat").alias("lat"), F.col("_place.lon").alias("lon"))
     )
-    return df.join(places, addr_col, "left")
+    found = cut_lineage(places)
+    small = found.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
+    return df.join(F.broadcast(found) if small else found, addr_col, "left")
 
 
 def resolve_pair(

@@ -100,9 +100,8 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
     copies = F.ceil(F.col("df") / HOT_TERM).cast("int")
     probes = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
-    placed = postings.join(
-        chosen.select("term", copies.alias("copies")).distinct(), "term"
-    ).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
+    split = chosen.select("term", copies.alias("copies")).distinct()
+    placed = postings.join(F.broadcast(split) if small else split, "term").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
     candidates = probes.join(placed.select("term", "salt", "doc_id"), ["term", "salt"]).select(
         "query", "required", "any_of", "doc_id"
     )

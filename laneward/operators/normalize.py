@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laneward.functions.risk import squash
-from laneward.operators.ordered import BUCKET, bucket_window, ordered_buckets
+from laneward.operators.ordered import BUCKET, bucket_window, ordered_buckets, per_bucket
 from laneward.operators.stats import stats_long
 
 REQUEST_ORDER = ("created_at", "request_id")
@@ -109,7 +109,7 @@ def normalize_running(
         )
         for f in features
     }
-    local = rows.withColumns(running)
+    local = per_bucket(rows, buckets).withColumns(running)
     if scope and state is not None:
         # a state row per scope: not bounded by the buckets, joined by shuffle
         joined = local.join(history, [BUCKET, *scope], "left")

@@ -31,9 +31,17 @@ def ordered_buckets(df: DataFrame, order: Sequence[str], buckets: int | None = N
     """
     spark = df.sparkSession
     n = buckets or shuffle_width(spark)
-    ranged = df.repartitionByRange(n, *order).withColumn(BUCKET, F.spark_partition_id())
-    # one task per bucket from here on: windows on the bucket need no shuffle
-    return cut_lineage(ranged).repartitionById(n, F.col(BUCKET))
+    return cut_lineage(df.repartitionByRange(n, *order).withColumn(BUCKET, F.spark_partition_id()))
+
+
+def per_bucket(placed: DataFrame, buckets: int | None = None) -> DataFrame:
+    """One task per bucket, for windows and grouped maps on the bucket.
+
+    Summaries of the buckets do not need it: they add up the placed rows where
+    they lie and shuffle one row per key and bucket.
+    """
+    n = buckets or shuffle_width(placed.sparkSession)
+    return placed.repartitionById(n, F.col(BUCKET))
 
 
 def bucket_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -79,7 +87,7 @@ def running_sums(
         {f"_{c}": (lambda w, c=c: F.sum(f"_{c}").over(w)) for c in sums},
     )
     window = bucket_window(keys, order)
-    local = rows.select(
+    local = per_bucket(rows, buckets).select(
         *[c for c in rows.columns if c not in sums], *[F.sum(c).over(window).alias(c) for c in sums]
     )
     total = {c: F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0)) for c in sums}
@@ -107,6 +115,6 @@ def last_known(
         {"_last": lambda w: F.last("_last", ignorenulls=True).over(w)},
     )
     window = bucket_window(keys, order)
-    local = rows.withColumn(column, F.last(column, ignorenulls=True).over(window))
+    local = per_bucket(rows, buckets).withColumn(column, F.last(column, ignorenulls=True).over(window))
     filled = F.coalesce(column, "_last")
     return _with_carried(local, carried, keys).withColumn(column, filled).drop(BUCKET, "_last")

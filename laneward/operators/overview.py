@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +72,9 @@ def overview_kpis(
             F.avg(F.when(at <= cut, F.col("risk_score"))).alias("_before"),
         ),
     ]
-    row = parts[0].withColumn("_k", F.lit(1))
-    for part in parts[1:]:
-        # every part is a single row
-        row = row.join(F.broadcast(part.withColumn("_k", F.lit(1))), "_k")
+    # four single rows, each with its own columns, folded into one
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    row = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     return row.withColumn("risk_trend", trend_label(F.col("_now"), F.col("_before"))).select(
         "total_suppliers",
         "active_routes",

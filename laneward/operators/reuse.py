@@ -16,9 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laneward.operators.ordered import BUCKET, ordered_buckets
+from laneward.operators.ordered import BUCKET, ordered_buckets, per_bucket
+from laneward.session import shuffle_width
 
 TTL_SECONDS = 900
+# rows that one task follows at a time
+ROWS_PER_BUCKET = 2_000_000
 
 
 def _follow(rows: pd.DataFrame, ttl_us: int) -> pd.DataFrame:
@@ -81,7 +84,10 @@ def reuse_features(
     keyed = requests.select(
         "lane", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "request_id"
     )
-    carry_schema = f"{BUCKET} int, lane {keyed.schema['lane'].dataType.simpleString()}, in_at long, in_id {id_type.simpleString()}"
+    lane_text, id_text = keyed.schema["lane"].dataType.simpleString(), id_type.simpleString()
+    chunk_schema = f"{BUCKET} int, lane {lane_text}"
+    if buckets is None:
+        buckets = max(shuffle_width(spark), -(-requests.count() // ROWS_PER_BUCKET))
     rows = ordered_buckets(keyed, ["lane", "at", "request_id"], buckets)
 
     ends = rows.groupBy("lane", BUCKET).agg(F.lit(1).alias("one"))
@@ -98,8 +104,10 @@ def reuse_features(
     first_bucket = ends.groupBy("lane").agg(F.min(BUCKET).alias(BUCKET))
 
     def with_carry(carry: dict) -> DataFrame:
-        table = spark.createDataFrame([(b, lane, *v) for (lane, b), v in carry.items()], carry_schema)
-        carried = rows.join(F.broadcast(table), [BUCKET, "lane"], "left")
+        table = spark.createDataFrame(
+            [(b, lane, *v) for (lane, b), v in carry.items()], f"{chunk_schema}, in_at long, in_id {id_text}"
+        )
+        carried = per_bucket(rows, buckets).join(F.broadcast(table), [BUCKET, "lane"], "left")
         if anchors is None:
             return carried
         # lanes are not bounded: their stored anchors meet the rows by a shuffle join
@@ -115,9 +123,6 @@ def reuse_features(
             F.coalesce("in_id", "_id").alias("in_id"),
         )
 
-    base = f"lane {keyed.schema['lane'].dataType.simpleString()}, at long, request_id {id_type.simpleString()}"
-    id_text = id_type.simpleString()
-
     def last_anchor(pdf: pd.DataFrame) -> pd.DataFrame:
         done = _follow(pdf, ttl_us)
         last = done.groupby("lane", sort=False).tail(1)
@@ -131,24 +136,20 @@ def reuse_features(
     exits: dict = {}
     todo = {(lane, b) for lane, b, _ in spans}
     while todo:
-        lanes = spark.createDataFrame(
-            [(b, lane) for lane, b in todo], f"{BUCKET} int, lane {keyed.schema['lane'].dataType.simpleString()}"
+        chunks = spark.createDataFrame([(b, lane) for lane, b in todo], chunk_schema)
+        again = with_carry(carry).join(F.broadcast(chunks), [BUCKET, "lane"], "left_semi")
+        ends_found = again.groupBy(BUCKET).applyInPandas(
+            last_anchor, f"{chunk_schema}, source_at long, source_request_id {id_text}"
         )
-        again = with_carry(carry).join(F.broadcast(lanes), [BUCKET, "lane"], "left_semi")
-        for r in (
-            again.groupBy(BUCKET)
-            .applyInPandas(
-                last_anchor, f"{BUCKET} int, lane {keyed.schema['lane'].dataType.simpleString()}, source_at long, source_request_id {id_text}"
-            )
-            .collect()
-        ):
+        for r in ends_found.collect():
             exits[(r["lane"], r[BUCKET])] = (r["source_at"], r["source_request_id"])
         known = dict(carry)
         carry = {(lane, b): exits[(lane, prev)] for lane, b, prev in spans if prev is not None}
         todo = {key for key, value in carry.items() if known.get(key) != value}
 
     done = with_carry(carry).groupBy(BUCKET).applyInPandas(
-        follow, f"{base}, source_request_id {id_text}, source_at long, is_reuse boolean"
+        follow,
+        f"lane {lane_text}, at long, request_id {id_text}, source_request_id {id_text}, source_at long, is_reuse boolean",
     )
     return done.select(
         "lane",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from laneward.dims import CITIES, COUNTRY_CITY, GAZETTEER, GRAPH_EDGES, SEARCH_TEMPLATES, dims
 from laneward.functions.text import ENTITIES, lane_key, strip_fences
 from laneward.operators import locate, mentions, ranking, routes
+from laneward.operators.scoring import with_identity
 from laneward.plans import warehouse as wh
 from laneward.plans.registry import query, r6, values_sql
 from laneward.session import cut_lineage
@@ -343,6 +344,23 @@ def search_queries(spark: SparkSession, sf: str) -> DataFrame:
     return mentions.search_queries(asked)
 
 
+@query("""
+SELECT o_orderstatus, count(*) AS n_rows, count(*) AS n_ids, count(*) FILTER (o_orderstatus <> 'P') AS n_given,
+       count(*) FILTER (o_orderstatus = 'P') AS n_made
+FROM orders GROUP BY 1""")
+def request_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids are made only where none is given, and no two rows share one."""
+    given = F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey").cast("string"))
+    rows = with_identity(wh.table(spark, sf, "orders").select("o_orderstatus", given.alias("request_id")))
+    made = (F.length("request_id") == 36) & F.col("created_at").isNotNull()
+    return rows.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("request_id").alias("n_ids"),
+        F.count_if(~made).alias("n_given"),
+        F.count_if(made).alias("n_made"),
+    )
+
+
 @query("""
 SELECT event_id AS request_id,
        CASE event_type WHEN 'view' THEN CAST(trunc(value) AS INTEGER) WHEN 'click' THEN CAST(trunc(value) AS INTEGER) ELSE 0 END AS news_vol_7d,
@@ -701,6 +719,31 @@ def route_edges(spark: SparkSession, sf: str) -> DataFrame:
     return routes.route_edges(edges, routes.route_path(edges, _nation_pairs(edges)))
 
 
+@query(f"""
+WITH lines AS (
+  SELECT l_suppkey, l_partkey, [sc.id, n_name, cc.id] AS path
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
+    JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey
+    JOIN {CITY_SQL.replace('c(', 'sc(')} ON sc.priority = s_nationkey + 1
+    JOIN {CITY_SQL.replace('c(', 'cc(')} ON cc.priority = c_nationkey + 1),
+paths AS (SELECT path, count(*) AS n_lines FROM lines GROUP BY 1),
+steps AS (SELECT path, n_lines, unnest(path) AS x, generate_subscripts(path, 1) AS i FROM paths)
+SELECT string_agg(coalesce(c.name, x), ' → ' ORDER BY i) AS route, n_lines
+FROM steps LEFT JOIN {CITY_SQL} ON c.id = x GROUP BY path, n_lines""")
+def route_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """City ids become names; the nation in between is no city and stays as it is."""
+    ids = F.split(F.lit("|".join(id_ for id_, *_ in CITIES)), r"\|")
+
+    def city(nation: str) -> Column:
+        return F.try_element_at(ids, (F.col(nation) + 1).cast("int"))
+
+    lines = wh.trade_lines(spark, sf).select(
+        F.array(city("seller_nation"), F.col("import_name"), city("import_nation")).alias("path")
+    )
+    paths = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
+    return routes.route_text(paths).select("route", "n_lines")
+
+
 CITY_EDGES = f"edges AS (SELECT src, dst, hardship FROM {values_sql(GRAPH_EDGES, 'e(n, src, dst, hardship)')})"
 
 
