@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laneward.dims import small_rows
+from laneward.operators.joins import lookup_join
 from laneward.operators.ordered import last_known
 from laneward.operators.scoring import FeatureSpec, feature_specs
 
@@ -36,6 +37,12 @@ def assemble_raw(
     return joined.withColumns(filled)
 
 
+def attach_by_lane(requests: DataFrame, lane_table: DataFrame) -> DataFrame:
+    """(request_id, features) of a table with one feature row per lane."""
+    asked = requests.select("request_id", "lane")
+    return lookup_join(asked, lane_table, "lane", F.col("request_id")).drop("lane")
+
+
 def to_long(df: DataFrame, features: Sequence[str], id_col: str = "request_id") -> DataFrame:
     """(id, feature, value) rows of a wide table."""
     return df.select(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneward.dims import CITIES, COUNTRY_CITY, GAZETTEER, small_rows
-from laneward.session import cut_lineage
+from laneward.operators.joins import lookup_join
 
 
 def _literal(rows: Sequence[Sequence], fields: str) -> Column:
@@ -143,17 +143,14 @@ def _geocode_by_substring(df: DataFrame, addr_col: str, gazetteer: DataFrame) ->
         .groupBy("_addr")
         .agg(F.min("entry").alias("_hit"))
     )
+    keyed = df.withColumn("_addr", _address(F.col(addr_col)))
     return (
-        df.withColumn("_addr", _address(F.col(addr_col)))
-        .join(best, "_addr", "left")
+        lookup_join(keyed, best, "_addr", F.struct(*df.columns))
         .withColumns({"place_key": F.col("_hit.key"), "lat": F.col("_hit.lat"), "lon": F.col("_hit.lon")})
         .drop("_addr", "_hit")
     )
 
 
-BROADCAST_PLACES = 100_000
-
-
 def geocode_resolve(
     df: DataFrame,
     addr_col: str,
@@ -178,9 +175,7 @@ def geocode_resolve(
         .select(addr_col, F.coalesce("_p1", "_p2", "_p3").alias("_place"))
         .select(addr_col, F.col("_place.lat").alias("lat"), F.col("_place.lon").alias("lon"))
     )
-    found = cut_lineage(places)
-    small = found.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
-    return df.join(F.broadcast(found) if small else found, addr_col, "left")
+    return lookup_join(df, places, addr_col, F.struct(*df.columns))
 
 
 def resolve_pair(

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneward.dims import SEARCH_TEMPLATES
+from laneward.operators.joins import is_small
 from laneward.session import cut_lineage
 
 HOT_TERM = 100_000
-BROADCAST_TERMS = 100_000
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -82,7 +82,7 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     # texts are read once; only words that some query asks for are kept
     asked = wanted.select(F.explode(F.array_union("required", "any_of")).alias("term")).distinct()
     words = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term"))
-    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = is_small(asked)
     postings = cut_lineage(words.join(F.broadcast(asked) if small else asked, "term", "left_semi"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = lookups.join(frequency, "term", "left")

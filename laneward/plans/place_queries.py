@@ -665,14 +665,13 @@ grown AS (
     UNION ALL
     SELECT k, g.start, e.dst, {'d': CAST(g.label.d + e.hardship AS BIGINT), 'h': g.label.h + 1, 'p': list_append(g.label.p, e.dst)}
     FROM grown g JOIN und e ON e.src = g."end") WHERE k < 24 GROUP BY 1, 2, 3),
-best AS (SELECT start, "end", label FROM grown WHERE k = 24)"""
+best AS (SELECT start, "end", label FROM grown WHERE k = 24),
+traded AS (SELECT start, "end", label FROM best JOIN edges ON src = start AND dst = "end")"""
 
 
-def _nation_pairs(edges: DataFrame) -> DataFrame:
-    """All ordered pairs of nodes that an edge touches."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    listed = nodes.groupBy(F.lit(1).alias("k")).agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    return listed.select(F.explode("nodes").alias("start"), "nodes").select("start", F.explode("nodes").alias("end"))
+def _traded(edges: DataFrame) -> DataFrame:
+    """The pairs of nations that trade with each other, as routes asked for."""
+    return edges.select(F.col("src").alias("start"), F.col("dst").alias("end"))
 
 
 @query(f"WITH {NATION_EDGES}, {UNDIRECTED} SELECT src, dst, hardship FROM und")
@@ -680,24 +679,24 @@ def undirected_edges(spark: SparkSession, sf: str) -> DataFrame:
     return routes.undirected_edges(wh.nation_edges(spark, sf))
 
 
-@query(f'WITH RECURSIVE {NATION_EDGES}, {UNDIRECTED}, {BEST} SELECT start, "end", label.d AS hardship FROM best')
+@query(f'WITH RECURSIVE {NATION_EDGES}, {UNDIRECTED}, {BEST} SELECT start, "end", label.d AS hardship FROM traded')
 def route_distances(spark: SparkSession, sf: str) -> DataFrame:
     edges = cut_lineage(wh.nation_edges(spark, sf))
-    return routes.route_distance(edges, _nation_pairs(edges))
+    return routes.route_distance(edges, _traded(edges))
 
 
 @query(f"""
 WITH RECURSIVE {NATION_EDGES}, {UNDIRECTED}, {BEST}
-SELECT start, "end", array_to_string(label.p, '>') AS path, label.d AS hardship, label.h AS hops FROM best WHERE start <> "end" """)
+SELECT start, "end", array_to_string(label.p, '>') AS path, label.d AS hardship, label.h AS hops FROM traded""")
 def route_paths(spark: SparkSession, sf: str) -> DataFrame:
     edges = cut_lineage(wh.nation_edges(spark, sf))
-    return routes.route_path(edges, _nation_pairs(edges)).withColumn("path", F.array_join("path", ">"))
+    return routes.route_path(edges, _traded(edges)).withColumn("path", F.array_join("path", ">"))
 
 
 LEGS = """
 legs AS (
   SELECT start, "end", CAST(i AS INTEGER) AS leg_no, label.p[i] AS src, label.p[i + 1] AS dst
-  FROM best, range(1, 25) t(i) WHERE start <> "end" AND i < len(label.p))"""
+  FROM traded, range(1, 25) t(i) WHERE i < len(label.p))"""
 
 
 @query(f"""
@@ -705,7 +704,7 @@ WITH RECURSIVE {NATION_EDGES}, {UNDIRECTED}, {BEST}, {LEGS}
 SELECT start, "end", leg_no, src, dst, hardship FROM legs JOIN und USING (src, dst)""")
 def route_legs(spark: SparkSession, sf: str) -> DataFrame:
     edges = cut_lineage(wh.nation_edges(spark, sf))
-    paths = routes.route_path(edges, _nation_pairs(edges))
+    paths = routes.route_path(edges, _traded(edges))
     return routes.route_legs(edges, paths).select("start", "end", "leg_no", "src", "dst", "hardship")
 
 
@@ -716,7 +715,7 @@ SELECT src, dst, hardship, coalesce(n, 0) AS n_routes, n IS NOT NULL AS on_route
 FROM edges LEFT JOIN used ON lo = least(src, dst) AND hi = greatest(src, dst)""")
 def route_edges(spark: SparkSession, sf: str) -> DataFrame:
     edges = cut_lineage(wh.nation_edges(spark, sf))
-    return routes.route_edges(edges, routes.route_path(edges, _nation_pairs(edges)))
+    return routes.route_edges(edges, routes.route_path(edges, _traded(edges)))
 
 
 @query(f"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from laneward.dims import FEATURES, MITIGATION, ROUTE_OPTIONS
 from laneward.functions.risk import clip01, factor_percent, risk_label, squash
-from laneward.operators.assemble import assemble_raw, attach_pressure
+from laneward.operators.assemble import assemble_raw, attach_by_lane, attach_pressure
 from laneward.operators.features import (
     asof_features,
     news_features,
@@ -634,7 +634,7 @@ def analyze_added_feature(spark: SparkSession, sf: str) -> DataFrame:
     specs.append(FeatureSpec("lane_value", 0.02))
     t = wh.lane_features(spark, sf)
     value = wh.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("lane")).agg(F.avg("o_totalprice").alias("lane_value"))
-    extra = t["requests"].select("request_id", "lane").join(value, "lane").drop("lane")
+    extra = attach_by_lane(t["requests"], value)
     scored = analysis.analyze(t["requests"], [t["trade"], t["news"], t["weather"], extra], t["pressure"], specs)
     return _analysis_rows(scored)
 

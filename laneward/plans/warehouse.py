@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laneward.operators.assemble import attach_by_lane
 from laneward.operators.features import news_features, trade_signals, weather_anomaly
 from laneward.session import cut_lineage
 
@@ -128,6 +129,6 @@ def lane_features(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         # all request times are midnights: mentions are added up per day first
         "news": news_features(asked, mentions(events), grain="day"),
         "weather": weather_anomaly(weather_rows(asked, events), ["request_id"]),
-        "trade": asked.select("request_id", "lane").join(trade, "lane").drop("lane"),
+        "trade": attach_by_lane(asked, trade),
         "pressure": pressure_days(events),
     }
