@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,15 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def with_variant(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a variant column that later filters do not compute again.
+
+    Filters move below projections and take a copy of the parsed expression for
+    each use; they cannot move below a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def is_kind(value: Column, name: str) -> Column:
     """Whether a variant's outer type is OBJECT, ARRAY, STRING or VOID."""
     shape = F.schema_of_variant(value)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneward.functions.text import strip_fences
-from laneward.functions.variant import field, is_kind, is_missing, parsed
+from laneward.functions.variant import field, is_kind, is_missing, parsed, with_variant
 from laneward.sources.payloads import valid_edges
 
 
@@ -85,7 +85,7 @@ def feature_json(df: DataFrame, text: str, spec: Sequence[AnswerField]) -> DataF
         for s in spec
     }
     return (
-        df.withColumn("_v", parsed(strip_fences(F.col(text))))
+        with_variant(df, parsed(strip_fences(F.col(text))), "_v")
         .withColumn("_bad", bad)
         .withColumns(fields)
         .drop("_v", "_bad")
@@ -107,7 +107,7 @@ def trade_json(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     no_edges = F.expr(
         "cast(array() as array<struct<exporter:string,importer:string,trade_value_usd:double,timestamp:string>>)"
     )
-    read = df.withColumn("_v", given).withColumn("_bad", F.coalesce(bad, F.lit(True)))
+    read = with_variant(df, given, "_v").withColumn("_bad", F.coalesce(bad, F.lit(True)))
     accepted = (
         read.where(~F.col("_bad"))
         .withColumns({s.name: _decoded(value, s) for s in TRADE_ANSWER})
