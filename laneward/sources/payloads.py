@@ -125,7 +125,9 @@ def edges_valid(df: DataFrame, by: Sequence[str] = ("request_id",), edges: str =
     """Valid edges of a JSON array column, one per row; an invalid edge drops out alone."""
     listed = field(parsed(F.col(edges)), "$", "array<variant>")
     items = df.select(*by, F.explode(listed).alias("_edge"))
-    return items.select(*by, *[c.alias(n) for n, c in _edge_fields(F.col("_edge")).items()]).dropna(
+    fields = F.struct(*[c.alias(n) for n, c in _edge_fields(F.col("_edge")).items()])
+    # a generator again, so that the filter does not extract every field twice
+    return items.select(*by, F.inline(F.array(fields))).dropna(
         subset=["exporter", "importer", "trade_value_usd", "timestamp"]
     )
 
