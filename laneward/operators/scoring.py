@@ -147,8 +147,12 @@ def _ranked(df: DataFrame, specs: Sequence[FeatureSpec]) -> Column:
 
 
 def with_factors(df: DataFrame, weights: DataFrame | Sequence[FeatureSpec] | None = None) -> DataFrame:
-    """Add ``factors``, the ranked array of (name, level, percent, impact)."""
-    return df.withColumn("factors", _ranked(df, feature_specs(weights)))
+    """Add ``factors``, the ranked array of (name, level, percent, impact), and
+    ``risk_components``, the unrounded share of each feature."""
+    specs = feature_specs(weights)
+    total = sum(s.weight for s in specs)
+    shares = [x for s in specs for x in (F.lit(s.feature), F.lit(s.weight) * _value(df, s) / total)]
+    return df.withColumns({"factors": _ranked(df, specs), "risk_components": F.create_map(*shares)})
 
 
 def factor_rows(df: DataFrame, id_col: str = "request_id") -> DataFrame:

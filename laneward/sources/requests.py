@@ -37,15 +37,12 @@ def report_rows(scored: DataFrame, mitigation: Column, features: list[str]) -> D
         if c in scored.columns
     ]
     pairs = [x for f in features for x in (F.lit(f), F.col(f))]
-    shares = F.map_from_entries(
-        F.transform("factors", lambda f: F.struct(f["name"], f["percent"] / 100))
-    )
     return scored.select(
         "request_id",
         "created_at",
         *([F.struct(*inputs).alias("inputs")] if inputs else []),
         F.create_map(*pairs).alias("features"),
-        F.struct("risk_score", "risk_label", shares.alias("risk_components")).alias("result"),
+        F.struct("risk_score", "risk_label", "risk_components").alias("result"),
         F.col("factors").alias("concise"),
         F.struct(
             F.col("factors").alias("risk_distribution"), mitigation.alias("mitigation_strategies")

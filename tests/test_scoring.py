@@ -258,6 +258,7 @@ def test_report_rows(scored, tmp_path):
     assert row.result.risk_label == "High"
     assert row.concise[0].name == "past_delay_days"
     assert row.concise == row.comprehensive.risk_distribution
+    assert sum(row.result.risk_components.asDict().values()) == pytest.approx(row.result.risk_score)
     assert len(row.comprehensive.mitigation_strategies) == 3
 
 
