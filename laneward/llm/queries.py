@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from laneward.llm import sql
 from laneward.llm.common import new_folder
+from laneward.llm.extract import main_texts
 from laneward.llm.idstore import id_digests, read_ids, write_ids
 from laneward.llm.packing import pack
+from laneward.llm.polytope import nearest
 from laneward.llm.quality import quality
 from laneward.llm.trie_counts import token_counts
 
@@ -51,6 +53,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "ids")
@@ -58,6 +65,12 @@ def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(read_ids(spark, path))
 
 
+@query()
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))

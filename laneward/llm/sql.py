@@ -30,10 +30,10 @@ covered AS (
   FROM counted, (VALUES (0), (1), (2)) AS t(k) WHERE n > 1 GROUP BY doc_id),
 measured AS (
   SELECT doc_id, len(w)::BIGINT AS n_words,
-    list_sum(list_transform(w, x -> length(x)))::BIGINT AS chars,
+    list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars,
     length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_WORD}')) AS lines,
-    len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}]+'), x -> x IN ({stop})))::BIGINT AS n_stop_words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines,
+    len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}]+'), lambda x: x IN ({stop})))::BIGINT AS n_stop_words,
     length(regexp_replace(coalesce(text, ''), '[^\\p{{Lu}}]+', '', 'g'))::BIGINT AS n_upper
   FROM worded),
 numbers AS (
