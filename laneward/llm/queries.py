@@ -13,6 +13,7 @@ from laneward.llm.extract import main_texts
 from laneward.llm.idstore import id_digests, read_ids, write_ids
 from laneward.llm.packing import pack
 from laneward.llm.polytope import nearest
+from laneward.llm.prefix_join import similar_groups
 from laneward.llm.quality import quality
 from laneward.llm.trie_counts import token_counts
 
@@ -74,3 +75,8 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query(sql.GROUPS)
+def op10_gram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))

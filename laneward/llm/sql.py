@@ -48,3 +48,31 @@ FROM judged"""
 
 
 QUALITY = _quality_sql()
+
+
+def _groups_sql(source: str = "documents", size: int = 5, percent: int = 80) -> str:
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE {words_cte("worded", source, lower)},
+grams AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM worded WHERE len(w) >= {size}),
+sets AS (
+  SELECT DISTINCT doc_id, {gram} AS g FROM grams
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM worded WHERE len(w) BETWEEN 1 AND {size - 1}),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ways
+  UNION SELECT node, b FROM reach JOIN both_ways ON other = a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least_id, doc_id) AS component_id
+FROM {source} LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT node AS doc_id, min(other) AS least_id FROM reach GROUP BY node) USING (doc_id)"""
+
+
+GROUPS = _groups_sql()
