@@ -128,18 +128,25 @@ class IdFilter:
         words[table.column("slot").to_numpy()] = table.column("bits").to_numpy()
         return cls(words)
 
-    def passing(self, df: DataFrame, name: str) -> DataFrame:
-        """The rows of df whose id may be among the ids."""
-        spark = df.sparkSession
+    def _marked(self, df: DataFrame, name: str) -> DataFrame:
         used = np.flatnonzero(self.words)
-        slots = spark.createDataFrame(
-            pa.table({"_slot": used.astype(np.int32), "_bits": self.words[used]})
+        slots = df.sparkSession.createDataFrame(
+            pa.table({"_slot": pa.array(used.astype(np.int32)), "_bits": pa.array(self.words[used])})
         )
         at = F.pmod(F.xxhash64(F.col(name)), F.lit(self.BITS))
-        hit = F.expr("(_bits & shiftleft(1L, cast(_at % 64 as int))) != 0")
+        hit = F.coalesce(F.expr("(_bits & shiftleft(1L, cast(_at % 64 as int))) != 0"), F.lit(False))
         return (
             df.withColumn("_at", at)
-            .join(F.broadcast(slots), (F.col("_at") / 64).cast("int") == F.col("_slot"))
-            .where(hit)
+            .join(F.broadcast(slots), (F.col("_at") / 64).cast("int") == F.col("_slot"), "left")
+            .withColumn("_may", hit)
             .drop("_at", "_slot", "_bits")
         )
+
+    def passing(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of df whose id may be among the ids."""
+        return self._marked(df, name).where("_may").drop("_may")
+
+    def parted(self, df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The rows whose id may be among the ids, and the rows whose id is not."""
+        marked = self._marked(df, name)
+        return marked.where("_may").drop("_may"), marked.where("NOT _may").drop("_may")

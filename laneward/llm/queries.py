@@ -15,6 +15,7 @@ from laneward.llm.packing import pack
 from laneward.llm.polytope import nearest
 from laneward.llm.prefix_join import similar_groups
 from laneward.llm.quality import quality
+from laneward.llm.substring import without_repeats
 from laneward.llm.trie_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,13 @@ def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(read_ids(spark, path))
 
 
+@query(sql.REPEATS)
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query()
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")

@@ -76,3 +76,24 @@ LEFT JOIN (SELECT node AS doc_id, min(other) AS least_id FROM reach GROUP BY nod
 
 
 GROUPS = _groups_sql()
+
+
+def _repeats_sql(source: str = "documents", size: int = 50) -> str:
+    return f"""
+WITH {words_cte("worded", source)},
+starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM worded WHERE len(w) >= {size}),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + {size - 1}], ' ')) AS g FROM starts),
+firsts AS (SELECT g, min(doc_id) AS first_doc FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (g) WHERE doc_id > first_doc),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS holes FROM hits, range({size}) AS t(k) GROUP BY doc_id),
+left_over AS (
+  SELECT doc_id, len(w) AS n_words, len(coalesce(holes, [])) AS n_removed,
+    CASE WHEN holes IS NULL THEN w
+      ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: NOT list_contains(holes, p[2])), lambda p: p[1]) END AS kept
+  FROM worded LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+  sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM left_over"""
+
+
+REPEATS = _repeats_sql()
