@@ -11,6 +11,7 @@ from laneward.llm import sql
 from laneward.llm.common import new_folder
 from laneward.llm.extract import main_texts
 from laneward.llm.idstore import id_digests, read_ids, write_ids
+from laneward.llm.lattice import lm_scores
 from laneward.llm.packing import pack
 from laneward.llm.polytope import nearest
 from laneward.llm.prefix_join import similar_groups
@@ -74,6 +75,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op7_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
