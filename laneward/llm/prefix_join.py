@@ -392,3 +392,26 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     return classes.join(found, classes["rep"] == found["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, unchanged, without those whose group holds a smaller doc_id.
+
+    Of rows that repeat an id one stays, the least by a hash of the text. Rows
+    with a null id and rows without words are in no group and stay.
+    """
+    groups = written(similar_groups(docs, size, percent), "groups").where("doc_id IS NOT NULL")
+    later = groups.where("component_id != doc_id").select("doc_id").distinct()
+    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    packed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id")
+    )
+    some, rest = IdFilter.of(later.unionByName(again), "doc_id").parted(packed, "doc_id")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"))
+    stay = (
+        some.where("doc_id IS NOT NULL")
+        .join(later, "doc_id", "left_anti")
+        .withColumn("n", F.row_number().over(order))
+        .where("n = 1")
+    )
+    return stay.select("row").unionByName(some.where("doc_id IS NULL").select("row")).unionByName(rest.select("row")).select("row.*")

@@ -44,6 +44,11 @@ RULES = (
 )
 
 
+MEASURES = (
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_stop_words n_upper"
+).split()
+
+
 def _count(text: Column, others: str) -> Column:
     """Characters of the text that are left without those that the pattern `others` matches."""
     return F.length(F.regexp_replace(text, others, "")).cast("long")
@@ -159,9 +164,9 @@ def measures(text: Column) -> Column:
     )
 
 
-def passes(rule: Rule) -> Column:
-    bottom = F.col(rule.bottom)
-    ratio = F.when(bottom > 0, F.col(rule.top) / bottom).otherwise(F.lit(0.0))
+def passes(rule: Rule, m: Column) -> Column:
+    bottom = m[rule.bottom]
+    ratio = F.when(bottom > 0, m[rule.top] / bottom).otherwise(F.lit(0.0))
     bounds = []
     if rule.least is not None:
         bounds.append(ratio >= rule.least)
@@ -170,26 +175,41 @@ def passes(rule: Rule) -> Column:
     return reduce(Column.__and__, bounds, F.lit(True))
 
 
-def base_failed() -> Column:
+def base_failed(m: Column) -> Column:
     """Under 50 words, or more than half of the words in repeated windows."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
+def judged(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """One struct for a text: the measures, base_failed, failed (names of broken rules) and kept."""
+    none = F.array().cast("array<string>")
+
+    def verdict(m: Column) -> Column:
+        broken = [F.when(~passes(r, m), F.lit(r.name)) for r in rules]
+        failed = F.filter(F.array(*broken), lambda name: name.isNotNull()) if broken else none
+        return F.struct(
+            *(m[name].alias(name) for name in MEASURES),
+            base_failed(m).alias("base_failed"),
+            failed.alias("failed"),
+            (~base_failed(m) & (F.size(failed) == 0)).alias("kept"),
+        )
+
+    return let(measures(text), verdict)
 
 
 def quality(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """doc_id, the measures of its whole text, base_failed, failed (names of broken rules) and kept.
+    """doc_id, the measures of its whole text, base_failed, failed and kept, for every row.
 
     One projection without shuffle or user functions. Null and empty text: all
     counts 0, base_failed. Very long texts are measured whole. Repeated rows are
-    judged each. Null ids stay. Columns other than doc_id and text are ignored.
+    judged each. Null ids stay. An empty table gives no rows. Columns other than
+    doc_id and text are ignored.
     """
-    verdicts = F.filter(
-        F.array(*(F.when(~passes(r), F.lit(r.name)) for r in rules)) if rules else F.array().cast("array<string>"),
-        lambda name: name.isNotNull(),
-    )
-    return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), measures(F.col("text")).alias("m"))
-        .select("doc_id", "m.*")
-        .withColumn("base_failed", base_failed())
-        .withColumn("failed", verdicts)
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), judged(F.col("text"), rules).alias("m")).select(
+        "doc_id", "m.*"
     )
+
+
+def good_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of docs, unchanged, that quality() keeps; in the scan, without a join."""
+    return docs.where(judged(F.col("text"), rules)["kept"])

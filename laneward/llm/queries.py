@@ -12,6 +12,7 @@ from laneward.llm.common import new_folder
 from laneward.llm.extract import main_texts
 from laneward.llm.idstore import id_digests, read_ids, write_ids
 from laneward.llm.lattice import lm_scores
+from laneward.llm.mixing import mixture
 from laneward.llm.packing import pack
 from laneward.llm.polytope import nearest
 from laneward.llm.prefix_join import similar_groups
@@ -49,6 +50,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(sql.MIXING)
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+
+
 @query(sql.QUALITY)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(

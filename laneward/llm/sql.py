@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from laneward.llm.mixing import CEILINGS, REST, ROUNDS, SEED
 from laneward.llm.quality import RULES, STOP_WORDS
 
 #: What parts words, and the words, for DuckDB's patterns.
@@ -97,3 +98,48 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
 
 
 REPEATS = _repeats_sql()
+
+
+def _mixing_sql(source: str = "documents") -> str:
+    named = {d: ", ".join(f"'{k}'" for k in t) for d, t in CEILINGS.items()}
+    pooled = ", ".join(f"CASE WHEN {d} IN ({named[d]}) THEN {d} ELSE '{REST}' END AS {d}_key" for d in CEILINGS)
+    keys = [f"{d}_key" for d in CEILINGS]
+    step = "SELECT round, " + ", ".join(keys) + ", n, mass FROM fit"
+    for d in CEILINGS:
+        step = (
+            f"SELECT round, {', '.join(keys)}, n, mass * share / sum(mass) OVER (PARTITION BY {d}_key) AS mass "
+            f"FROM ({step}) JOIN {d}_target ON {d}_key = value"
+        )
+    present = ", ".join(
+        f"{d}_held AS (SELECT {d}_key AS value, sum(n) / (SELECT sum(n) FROM cells) AS held FROM cells GROUP BY ALL), "
+        f"{d}_cut AS (SELECT value, least(held, CASE "
+        + " ".join(f"WHEN value = '{k}' THEN {v!r}" for k, v in t.items())
+        + f" END) AS share FROM {d}_held WHERE value <> '{REST}' UNION ALL "
+        f"SELECT value, 1 - (SELECT coalesce(sum(least(held, CASE "
+        + " ".join(f"WHEN value = '{k}' THEN {v!r}" for k, v in t.items())
+        + f" END)), 0) FROM {d}_held WHERE value <> '{REST}') FROM {d}_held WHERE value = '{REST}'), "
+        f"{d}_target AS (SELECT value, share / sum(share) OVER () AS share FROM {d}_cut)"
+        for d, t in CEILINGS.items()
+    )
+    return f"""
+WITH RECURSIVE counted AS (
+  SELECT *, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens,
+    length(regexp_replace(coalesce(text, ''), '[^|]+', '', 'g')) AS bars FROM {source}),
+formed AS (
+  SELECT *, CASE WHEN n_tokens > 0 AND 4 * bars >= n_tokens THEN 'table' WHEN n_tokens < 300 THEN 'short' ELSE 'long' END AS topic
+  FROM counted),
+keyed AS (SELECT *, {pooled} FROM formed),
+cells AS (SELECT {", ".join(keys)}, sum(n_tokens)::DOUBLE AS n FROM keyed WHERE n_tokens > 0 GROUP BY ALL),
+{present},
+fit AS (
+  SELECT 0 AS round, {", ".join(keys)}, n, n AS mass FROM cells
+  UNION ALL SELECT round + 1, {", ".join(keys)}, n, mass FROM ({step}) WHERE round < {ROUNDS}),
+weights AS (SELECT {", ".join(keys)}, mass / n / max(mass / n) OVER () AS probability FROM fit WHERE round = {ROUNDS})
+SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(p, 0), 6) AS probability, draw < coalesce(p, 0) AS kept
+FROM (
+  SELECT *, CASE WHEN n_tokens > 0 THEN probability END AS p,
+    ('0x' || md5('{SEED}:' || doc_id)[1:8])::BIGINT / 4294967296.0 AS draw
+  FROM keyed LEFT JOIN weights USING ({", ".join(keys)}))"""
+
+
+MIXING = _mixing_sql()

@@ -283,7 +283,9 @@ def repeated_spans(rows: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _kept(rows: DataFrame) -> DataFrame:
+def _cut(rows: DataFrame) -> DataFrame:
+    """rows: row (anything), text, spans. Gives row, n_words, n_removed and kept."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
@@ -297,13 +299,30 @@ def _kept(rows: DataFrame) -> DataFrame:
                 kept.append(b" ".join(w for w, k in zip(words, keep) if k) if n_removed[-1] else b" ".join(words))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                    batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                     pa.array(kept, pa.binary()).cast(pa.string()),
                 ],
-                names=["doc_id", "n_words", "n_removed", "kept"],
+                names=["row", "n_words", "n_removed", "kept"],
             )
 
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(cut, f"row {kind}, n_words long, n_removed long, kept string")
+
+
+def _parted(docs: DataFrame, row, size: int) -> tuple[DataFrame, DataFrame]:
+    """(row, text, spans) of the documents that may have repeated spans, and of those that have none."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.hash(F.col("text").cast("string")).alias("tie"), row.alias("row"),
+    )
+    known = rows.select("doc_id", "tie", "text").where("doc_id IS NOT NULL")
+    spans = written(repeated_spans(known, size), "spans")
+    some, rest = IdFilter.of(spans, "doc_id").parted(rows, "doc_id")
+    kind = spans.schema["spans"].dataType
+    return (
+        some.join(spans, KEY, "left").select("row", "text", "spans"),
+        rest.select("row", "text", F.lit(None).cast(kind).alias("spans")),
+    )
 
 
 def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
@@ -325,11 +344,22 @@ def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     another; a null id keeps all its words. Repeated rows are cut alike. Very long
     texts are taken whole; an empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("tie", F.hash("text"))
-    spans = written(repeated_spans(rows.where("doc_id IS NOT NULL"), size), "spans")
-    some, rest = IdFilter.of(spans, "doc_id").parted(rows, "doc_id")
-    kind = spans.schema["spans"].dataType
-    return _kept(some.join(spans, KEY, "left").select("doc_id", "text", "spans")).unionByName(
-        _kept(rest.select("doc_id", "text", F.lit(None).cast(kind).alias("spans")))
-    )
+    some, rest = _parted(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id")), size)
+    return _cut(some).unionByName(_cut(rest)).select("row.doc_id", "n_words", "n_removed", "kept")
+
+
+def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
+    """The documents with their repeated spans cut out, by the rule of without_repeats().
+
+    Rows without such spans come back unchanged. A cut text is the words left,
+    joined by one space, with n_chars (if there is such a column) set to its
+    length; documents of which nothing is left are dropped. All columns stay.
+    """
+    some, rest = _parted(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), size)
+    gone = F.col("n_removed") > 0
+    new = F.col("row").withField("text", F.when(gone, F.col("kept")).otherwise(F.col("row.text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new = new.withField("n_chars", F.when(gone, F.length("kept").cast(kind)).otherwise(F.col("row.n_chars")))
+    cut = _cut(some).where((F.col("n_removed") < F.col("n_words")) | ~gone).select(new.alias("row"))
+    return cut.unionByName(rest.select("row")).select("row.*")
