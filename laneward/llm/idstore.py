@@ -84,7 +84,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("held"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
-    return stored.join(firsts, "part").select(
+    # one row of two numbers for each file written, so the ids need no shuffle
+    return stored.join(F.broadcast(firsts), "part").select(
         "doc_id", (F.col("first") + F.col("start_in_part")).alias("start"), "n_tokens", "ids"
     )
 
