@@ -52,7 +52,7 @@ def rake(
     for _ in range(rounds):
         for d, shares in enumerate(targets):
             values = list(shares)
-            at = np.array([values.index(k[d]) for k in keys])
+            at = np.array([values.index(k[d]) for k in keys], int)
             held = np.bincount(at, mass, len(values))
             want = np.array([shares[v] for v in values])
             mass = mass * np.divide(want, held, out=np.zeros_like(want), where=held > 0)[at]
