@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named character references and what they stand for.
-ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&trade;": "™",
-    "&middot;": "·",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&hellip;": "…",
-    "&lsquo;": "‘",
-    "&rsquo;": "’",
-    "&ldquo;": "“",
-    "&rdquo;": "”",
-    "&euro;": "€",
-    "&amp;": "&",  # last: its result must not be decoded again
-}
+# All named character references of HTML, as Python's library lists them.
+ENTITIES = {name.rstrip(";"): shown for name, shown in html5.items() if name.endswith(";")}
 
 PAGE_TEXT_CAP = 5000
 
-# comments, scripts and styles, each up to its end mark or the end of the page
+# comments, scripts, styles and templates, each up to its end mark or the end of the page
 HIDDEN_MARKUP = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
     r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"|<template\b[^>]*>.*?(?:</template\s*>|\z)"
 )
 
 
@@ -48,27 +32,34 @@ def strip_fences(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("{}")).otherwise(bare)
 
 
-def _numeric_references(text: Column) -> Column:
-    def decode(acc: Column, ref: Column) -> Column:
-        digits = F.regexp_extract(ref, "&#[xX]?([0-9a-fA-F]+);", 1)
-        code = F.when(ref.rlike("&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+def _references(text: Column) -> Column:
+    """Character references decoded in one pass: what one yields is not decoded again."""
+    mark = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def decoded(piece: Column) -> Column:
+        # a piece is what follows an ampersand
+        name = F.regexp_extract(piece, "^" + mark[1:], 1)
+        digits = F.regexp_extract(name, "^#[xX]?([0-9a-fA-F]+)$", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+        code = F.when(digits != "", code).cast("long")
         shown = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.replace(acc, ref, F.when(valid, shown).otherwise(F.lit("�")))
+        number = F.when(valid, shown).otherwise(F.lit("�"))
+        found = F.when(digits != "", number).otherwise(F.try_element_at(named, name))
+        rest = F.substr(piece, F.length(name) + 2)
+        return F.when((name != "") & found.isNotNull(), F.concat(found, rest)).otherwise(F.concat(F.lit("&"), piece))
 
-    refs = F.array_distinct(
-        F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), 0)
-    )
-    return F.when(F.contains(text, F.lit("&#")), F.aggregate(refs, text, decode)).otherwise(text)
+    pieces = F.split(text, "&")
+    tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.when(F.contains(text, F.lit("&")), F.concat(pieces[0], F.array_join(tail, ""))).otherwise(text)
 
 
 def visible_text(html: Column) -> Column:
     """Text nodes of a page joined by single spaces, without script or style."""
     text = F.regexp_replace(html, HIDDEN_MARKUP, " ")
     text = F.regexp_replace(text, r"(?s)<[/!?a-zA-Z][^>]*>", " ")
-    text = _numeric_references(text)
-    for entity, shown in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(shown))
+    text = _references(text)
     text = F.regexp_replace(text, r"(?U)\s+", " ")
     return F.trim(text)
 

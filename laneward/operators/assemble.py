@@ -82,7 +82,7 @@ def attach_pressure(requests: DataFrame, periods: DataFrame, created: str = "cre
         timeline = requests.select(
             at.alias("_at"), F.lit(1).alias("_side"), "request_id", F.lit(None).cast("double").alias("global_risk")
         ).unionByName(
-            newest.select(
+            newest.where("start IS NOT NULL").select(
                 F.col("start").alias("_at"),
                 F.lit(0).alias("_side"),
                 F.lit(None).alias("request_id"),
@@ -93,13 +93,13 @@ def attach_pressure(requests: DataFrame, periods: DataFrame, created: str = "cre
         return requests.join(
             found.where("_side = 1").select("request_id", "global_risk"), "request_id", "left"
         )
+    rows = [r for r in rows if r["start"] is not None and r["global_risk"] is not None]
     if not rows:
         return requests.withColumn("global_risk", F.lit(None).cast("double"))
     calendar = F.array(
         *[
             F.struct(F.lit(r["start"]).alias("start"), F.lit(float(r["global_risk"])).alias("risk"))
             for r in sorted(rows, key=lambda r: r["start"])
-            if r["global_risk"] is not None
         ]
     )
     passed = F.filter(calendar, lambda p: p["start"] <= at)

@@ -13,10 +13,39 @@ NEWS_DAYS = 7
 TONE_DAYS = 3
 
 
-def distinct_mentions(mentions: DataFrame, id_col: str = "mention_id") -> DataFrame:
-    """A mention counts once per lane, at the time it was first seen."""
-    first = F.min(F.struct("ts", "negative", "strike"))
-    return mentions.groupBy("lane", id_col).agg(first.alias("_m")).select("lane", id_col, "_m.*")
+def mention_steps(mentions: DataFrame, id_col: str = "mention_id") -> DataFrame:
+    """(lane, at, n, strike, recent, negative): changes of what a trailing window holds.
+
+    A mention may be seen many times; a window holds it once while any sighting is
+    in it. Each sighting therefore counts from its time until its window ends or
+    the next one of the same mention begins: n and strike over NEWS_DAYS, recent
+    and negative over TONE_DAYS. Sightings without a time count nowhere.
+    """
+    seen = (
+        mentions.where("ts IS NOT NULL")
+        .groupBy("lane", F.col(id_col).alias("_id"), F.col("ts").cast("timestamp").alias("ts"))
+        .agg(F.max("negative").alias("_neg"), F.max("strike").alias("_strike"))
+    )
+    later = Window.partitionBy("lane", "_id").orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
+    kinds = {
+        "n": (F.lit(True), NEWS_DAYS),
+        "strike": (F.coalesce("_strike", F.lit(False)), NEWS_DAYS),
+        "recent": (F.lit(True), TONE_DAYS),
+        "negative": (F.coalesce("_neg", F.lit(False)), TONE_DAYS),
+    }
+    ends = {
+        f"_end_{k}": F.least(F.col("ts") + F.make_interval(days=F.lit(days)), F.min(F.when(flag, F.col("ts"))).over(later))
+        for k, (flag, days) in kinds.items()
+    }
+
+    def step(at: str, sign: int, names: Sequence[str]) -> Column:
+        return F.struct(
+            F.col(at).alias("at"),
+            *[(F.when(kinds[k][0], sign).otherwise(0) if k in names else F.lit(0)).cast("long").alias(k) for k in kinds],
+        )
+
+    steps = [step("ts", 1, list(kinds)), *(step(f"_end_{k}", -1, [k]) for k in kinds)]
+    return seen.withColumns(ends).select("lane", F.inline(F.array(*steps)))
 
 
 def news_features(
@@ -26,59 +55,45 @@ def news_features(
 
     requests: request_id, lane, created_at. mentions: lane, mention_id, ts,
     negative, strike (relevant ones only). A window is (created_at - N days,
-    created_at].
+    created_at]; a mention seen several times in it counts once.
 
-    The number of mentions in a window is the difference of two running totals
-    of the lane, so the work is linear in mentions plus requests: no pair of a
-    request and a mention is ever formed, and a hot lane is split by range.
-    Where all request times are multiples of ``grain`` ("day", "hour"),
-    mentions are first added up per lane and grain before they are shuffled.
+    What a window holds at a time is a running total of the lane's steps, so the
+    work is linear in mentions plus requests: no pair of a request and a mention
+    is ever formed, and a hot lane is split by range. Where all request times are
+    multiples of ``grain`` ("day", "hour"), steps are first added up per lane and
+    grain before they are shuffled.
     """
-    seen = distinct_mentions(mentions)
-    at = F.col("ts").cast("timestamp")
+    at = F.col("at")
     if grain is not None:
         floor = F.date_trunc(grain, at)
         at = F.when(floor == at, at).otherwise(floor + F.expr(f"interval 1 {grain}"))
-    steps = seen.groupBy("lane", at.alias("at")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("negative").cast("long")).alias("neg"),
-        F.sum(F.col("strike").cast("long")).alias("strike"),
-    )
-    none = F.lit(None)
-    probe_days = F.explode(F.array(F.lit(0), F.lit(TONE_DAYS), F.lit(NEWS_DAYS))).alias("back")
-    probes = requests.select("lane", "request_id", "created_at", probe_days).select(
-        "lane",
-        (F.col("created_at").cast("timestamp") - F.make_interval(days="back")).alias("at"),
-        F.lit(1).alias("side"),
-        "request_id",
-        "back",
-        *[F.lit(0).cast("long").alias(c) for c in ("n", "neg", "strike")],
+    counts = ["n", "strike", "recent", "negative"]
+    steps = (
+        mention_steps(mentions)
+        .groupBy("lane", at.alias("at"))
+        .agg(*[F.sum(c).alias(c) for c in counts])
     )
     timeline = steps.select(
         "lane",
         "at",
         F.lit(0).alias("side"),
-        none.cast(requests.schema["request_id"].dataType).alias("request_id"),
-        none.cast("int").alias("back"),
-        "n",
-        "neg",
-        "strike",
-    ).unionByName(probes)
-    totals = running_sums(
-        timeline, ["lane"], ["at", "side", "request_id", "back"], ["n", "neg", "strike"], buckets
-    ).where("side = 1")
-
-    def at_back(column: str, days: int) -> Column:
-        return F.max(F.when(F.col("back") == days, F.col(column)))
-
-    volume = at_back("n", 0) - at_back("n", NEWS_DAYS)
-    recent = at_back("n", 0) - at_back("n", TONE_DAYS)
-    negative = at_back("neg", 0) - at_back("neg", TONE_DAYS)
-    strikes = at_back("strike", 0) - at_back("strike", NEWS_DAYS)
-    return totals.groupBy("request_id").agg(
-        volume.cast("int").alias("news_vol_7d"),
-        F.coalesce(F.try_divide(negative, recent), F.lit(0.0)).alias("neg_tone_frac_3d"),
-        (strikes > 0).cast("int").alias("strike_flag_7d"),
+        F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"),
+        *counts,
+    ).unionByName(
+        requests.select(
+            "lane",
+            F.col("created_at").cast("timestamp").alias("at"),
+            F.lit(1).alias("side"),
+            "request_id",
+            *[F.lit(0).cast("long").alias(c) for c in counts],
+        )
+    )
+    totals = running_sums(timeline, ["lane"], ["at", "side", "request_id"], counts, buckets)
+    return totals.where("side = 1").select(
+        "request_id",
+        F.col("n").cast("int").alias("news_vol_7d"),
+        F.coalesce(F.try_divide("negative", "recent"), F.lit(0.0)).alias("neg_tone_frac_3d"),
+        (F.col("strike") > 0).cast("int").alias("strike_flag_7d"),
     )
 
 

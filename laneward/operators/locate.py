@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from laneward.dims import CITIES, COUNTRY_CITY, GAZETTEER, small_rows
 from laneward.operators.joins import lookup_join
+from laneward.session import cut_lineage
 
 
 def _literal(rows: Sequence[Sequence], fields: str) -> Column:
@@ -42,6 +43,9 @@ def _first_match(text: str, rows: Sequence[Sequence], fields: str, both_ways: bo
     first key inside the text. The opposite direction is looked at only if the
     text occurs in some key at all.
     """
+    if not rows:
+        names = [f.split(":") for f in fields.split(",")]
+        return F.struct(*[F.lit(None).cast(kind).alias(n) for n, kind in names])
     listed = [row[0] for row in rows]
     keys = F.from_json(F.lit(json.dumps(listed)), "array<string>")
     found = F.regexp_extract_all(text, F.lit(_starting_key([k for k in listed if k])), 1)
@@ -75,7 +79,7 @@ def geocode_lookup(df: DataFrame, addr_col: str, gazetteer: DataFrame | None = N
         found = small_rows(gazetteer.select("priority", "key", "lat", "lon"))
         if found is None:
             return _geocode_by_substring(df, addr_col, gazetteer)
-        rows = [tuple(r)[1:] for r in sorted(found)]
+        rows = [tuple(r)[1:] for r in sorted(found) if r["key"] is not None]
     if not rows:
         empty = F.lit(None)
         return df.withColumns(
@@ -105,49 +109,42 @@ def _pieces(text: str, lengths: Column) -> Column:
     )
 
 
-KEY_LENGTH_LIMIT = 256
+def _first_by_substring(texts: DataFrame, entries: DataFrame, both_ways: bool) -> DataFrame:
+    """(_text, _hit) of each distinct _text that an entry (priority, key, ...) matches: the first entry.
 
+    "Key inside text" is an equality between a key and a substring of the text,
+    "text inside key" one between the text and a substring of a key. Texts are cut
+    at the lengths that keys have, keys at the lengths that texts have and only
+    where a text is that short, so long keys are not cut everywhere. Each piece
+    keeps only its first entry. Entries without a key match nothing.
+    """
+    entry = F.struct("priority", *[c for c in entries.columns if c != "priority"])
+    keys = entries.where("key IS NOT NULL").groupBy("key").agg(F.min(entry).alias("entry"))
+    distinct = cut_lineage(texts.select("_text").where("_text IS NOT NULL").distinct())
+
+    def lengths(frame: DataFrame, column: str) -> Column:
+        # at most as many as the longest text has characters
+        found = frame.select(F.length(column).alias("n")).distinct().collect()
+        return F.array(*[F.lit(n) for n in sorted(r["n"] for r in found)]).cast("array<int>")
+
+    keys = cut_lineage(keys)
+    key_lengths, text_lengths = lengths(keys, "key"), lengths(distinct, "_text")
+    hits = distinct.select("_text", F.explode(_pieces("_text", key_lengths)).alias("key")).join(keys, "key")
+    hits = hits.select("_text", "entry")
+    if both_ways:
+        inside = keys.select("entry", F.explode(_pieces("key", text_lengths)).alias("_text"))
+        hits = hits.unionByName(inside.join(distinct, "_text").select("_text", "entry"))
+    return hits.groupBy("_text").agg(F.min("entry").alias("_hit"))
 
-def _geocode_by_substring(df: DataFrame, addr_col: str, gazetteer: DataFrame) -> DataFrame:
-    """Exact two-way containment match against a gazetteer of any size.
 
-    "Key inside address" is an equality between a key and a substring of the
-    address; "address inside key" one between the address and a substring of a
-    key. Both sides are cut into substrings once, each piece keeps only its
-    first entry, and only distinct addresses take part.
-    """
-    entry = F.struct("priority", "key", "lat", "lon")
-    keys = gazetteer.groupBy("key").agg(F.min(entry).alias("entry"))
-    addresses = df.select(_address(F.col(addr_col)).alias("_addr")).where("_addr is not null").distinct()
-
-    # key lengths that occur: a short list, since keys are place names
-    found = small_rows(keys.select(F.length("key").alias("n")).distinct(), KEY_LENGTH_LIMIT)
-    if found is None:
-        raise ValueError("gazetteer keys are place names; these have too many different lengths")
-    lengths = F.array(*[F.lit(r["n"]) for r in found])
-
-    inside_address = addresses.select(
-        "_addr", F.explode(_pieces("_addr", lengths)).alias("piece")
-    ).join(keys.withColumnRenamed("key", "piece"), "piece")
-
-    all_lengths = F.sequence(F.lit(0), F.length("key"))
-    inside_key = (
-        keys.select("entry", F.explode(_pieces("key", all_lengths)).alias("_addr"))
-        .groupBy("_addr")
-        .agg(F.min("entry").alias("entry"))
-        .join(addresses, "_addr")
-    )
-    best = (
-        inside_address.select("_addr", "entry")
-        .unionByName(inside_key.select("_addr", "entry"))
-        .groupBy("_addr")
-        .agg(F.min("entry").alias("_hit"))
-    )
-    keyed = df.withColumn("_addr", _address(F.col(addr_col)))
+def _geocode_by_substring(df: DataFrame, addr_col: str, gazetteer: DataFrame) -> DataFrame:
+    """Exact two-way containment match against a gazetteer of any size, once per distinct address."""
+    keyed = df.withColumn("_text", _address(F.col(addr_col)))
+    best = _first_by_substring(keyed, gazetteer.select("priority", "key", "lat", "lon"), True)
     return (
-        lookup_join(keyed, best, "_addr", F.struct(*df.columns))
+        lookup_join(keyed, best, "_text", F.struct(*df.columns))
         .withColumns({"place_key": F.col("_hit.key"), "lat": F.col("_hit.lat"), "lon": F.col("_hit.lon")})
-        .drop("_addr", "_hit")
+        .drop("_text", "_hit")
     )
 
 
@@ -207,28 +204,43 @@ def city_match(
     """Add the city a location stands for: names by two-way containment, then
     country keys inside the location; '' if none. The text is not trimmed.
 
-    City lists are map nodes: they must fit DIMENSION_ROW_LIMIT and become an
-    ordered literal, so the match is one projection.
+    Short lists become ordered literals, so the match is one projection. Longer
+    ones take equi joins on substrings of the distinct locations, with the same
+    result.
     """
-    names = [(id_, name) for id_, name, _, _ in CITIES]
-    countries = COUNTRY_CITY
-    if cities is not None:
-        names = [tuple(r)[1:] for r in _ordered(cities.select("priority", "id", "name"))]
-    if country_city is not None:
-        countries = [tuple(r)[1:] for r in _ordered(country_city.select("priority", "key", "city_id"))]
-    named = [(name.lower(), id_) for id_, name in names]
-    by_name = _first_match("_text", named, "key:string,id:string", True)
-    by_country = _first_match("_text", countries, "key:string,id:string", False)
-    city = F.coalesce(by_name["id"], by_country["id"], F.lit(""))
-    return (
-        df.withColumn("_text", F.lower(loc_col))
-        .withColumn(out_col, F.when(F.coalesce("_text", F.lit("")) == "", F.lit("")).otherwise(city))
-        .drop("_text")
+    by_name = _entries(cities, ("priority", "name", "id"), [(name, id_) for id_, name, _, _ in CITIES], lower=True)
+    by_country = _entries(country_city, ("priority", "key", "city_id"), COUNTRY_CITY, lower=False)
+    rows = df.withColumn("_text", F.lower(loc_col))
+    if isinstance(by_name, DataFrame) or isinstance(by_country, DataFrame):
+        distinct = rows.select("_text").where("_text <> ''").distinct()
+        spark = df.sparkSession
+        fields = "priority int, key string, id string"
+        found = distinct
+        for out, entries, both_ways in (("_name", by_name, True), ("_country", by_country, False)):
+            if not isinstance(entries, DataFrame):
+                entries = spark.createDataFrame([(n, *e) for n, e in enumerate(entries, 1)], fields)
+            best = _first_by_substring(distinct, entries, both_ways).withColumnRenamed("_hit", out)
+            found = found.join(best, "_text", "left")
+        found = found.select("_text", F.coalesce("_name.id", "_country.id").alias("_city"))
+        rows = lookup_join(rows, found, "_text", F.struct(*df.columns))
+    else:
+        name = _first_match("_text", by_name, "key:string,id:string", True)
+        country = _first_match("_text", by_country, "key:string,id:string", False)
+        rows = rows.withColumn("_city", F.coalesce(name["id"], country["id"]))
+    city = F.when(F.coalesce("_text", F.lit("")) == "", F.lit("")).otherwise(F.coalesce("_city", F.lit("")))
+    return rows.withColumn(out_col, city).drop("_text", "_city")
+
+
+def _entries(
+    table: DataFrame | None, names: tuple[str, str, str], built_in: Sequence[tuple], lower: bool
+) -> DataFrame | list[tuple]:
+    """(key, id) pairs in order if the table is short, else a frame (priority, key, id)."""
+    if table is None:
+        return [(k.lower() if lower else k, v) for k, v in built_in]
+    priority, key, id_ = names
+    text = F.lower(key) if lower else F.col(key)
+    frame = table.select(F.col(priority).alias("priority"), text.alias("key"), F.col(id_).alias("id")).where(
+        "key IS NOT NULL"
     )
-
-
-def _ordered(dim: DataFrame) -> list:
-    rows = small_rows(dim)
-    if rows is None:
-        raise ValueError("a city list is a map legend; use geocode_lookup for a long place table")
-    return sorted(rows)
+    rows = small_rows(frame)
+    return frame if rows is None else [tuple(r)[1:] for r in sorted(rows)]

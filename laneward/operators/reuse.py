@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laneward.operators.ordered import BUCKET, ordered_buckets, per_bucket
-from laneward.session import shuffle_width
+from laneward.session import cut_lineage, shuffle_width
 
 TTL_SECONDS = 900
 # rows that one task follows at a time
@@ -76,9 +76,21 @@ def reuse_features(
     """(lane, created_at, request_id, source_request_id, source_at, is_reuse).
 
     requests: lane, created_at, request_id. ``anchors`` continues an earlier
-    run: (lane, source_at, source_request_id), one row per lane.
+    run: (lane, source_at, source_request_id), one row per lane. Rows older than
+    the anchor of their lane cannot reuse it; they follow one another alone.
     """
     spark = requests.sparkSession
+    if anchors is not None:
+        stored = anchors.select("lane", F.col("source_at").alias("_stored_at"))
+        marked = requests.select("lane", "created_at", "request_id").join(stored, "lane", "left")
+        is_late = F.coalesce(F.col("created_at").cast("timestamp") < F.col("_stored_at"), F.lit(False))
+        marked = cut_lineage(marked.withColumn("_late", is_late))
+        late = marked.where("_late").drop("_late", "_stored_at")
+        if not late.isEmpty():
+            on_time = marked.where("NOT _late").drop("_late", "_stored_at")
+            return reuse_features(on_time, ttl_seconds, anchors, buckets).unionByName(
+                reuse_features(late, ttl_seconds, None, buckets)
+            )
     ttl_us = ttl_seconds * 1_000_000
     id_type = requests.schema["request_id"].dataType
     keyed = requests.select(

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from laneward.dims import DEFAULT_IMPACT, FEATURES, MITIGATION, ROUTE_OPTIONS, small_rows
+from laneward.dims import DEFAULT_IMPACT, FEATURES, MITIGATION, ROUTE_OPTIONS
 from laneward.functions.risk import (
     NEUTRAL,
     clip01,
@@ -43,16 +43,13 @@ def feature_specs(weights: DataFrame | Sequence[FeatureSpec] | None) -> list[Fea
     """Weights as a list; none or an empty table means the built-in ones.
 
     A table needs (ordinal, feature, weight) and may give default_value and
-    impact. Each of its rows names a column, so its size is that of a schema;
-    a table beyond that is refused.
+    impact. Each of its rows names a column, so its size is that of a schema.
     """
     if weights is None:
         return DEFAULT_SPECS
     if not isinstance(weights, DataFrame):
         return list(weights) or DEFAULT_SPECS
-    rows = small_rows(weights)
-    if rows is None:
-        raise ValueError("a weight table has one row per feature column; this one is too long")
+    rows = weights.collect()  # one row per feature column
     known = {s.feature: s for s in DEFAULT_SPECS}
     specs = []
     for row in sorted((r.asDict() for r in rows), key=lambda r: r["ordinal"]):
@@ -208,10 +205,8 @@ def route_options(df: DataFrame, id_col: str = "request_id") -> DataFrame:
 
 
 def mitigation_column(strategies: DataFrame | None = None) -> Column:
-    """Strategy map; a table (name, text) replaces the built-in entries."""
-    rows = None if strategies is None else small_rows(strategies)
-    if strategies is not None and rows is None:
-        raise ValueError("a strategy table is shown whole on every report; this one is too long")
+    """Strategy map; a table (name, text), shown whole on every report, replaces the built-in entries."""
+    rows = None if strategies is None else strategies.collect()
     pairs = MITIGATION.items() if rows is None else [(r["name"], r["text"]) for r in rows]
     return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
 

@@ -44,37 +44,29 @@ def feature_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def merge_stats(*parts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Merge any number of state tables.
 
-    The squared distances are taken from the merged mean, so nothing cancels
-    when the mean is large beside the spread.
+    Sums are taken around the smallest mean, so little cancels when the means are
+    large beside their spread; every step is a partial sum in each task, whatever
+    the number of parts.
     """
     keys = [*groups, "feature"]
     rows = reduce(DataFrame.unionByName, parts).where("count > 0")
+    # means around the smallest one keep their low digits
+    base = rows.groupBy(*keys).agg(F.min("mean").alias("base"))
+    off = F.col("mean") - F.col("base")
     return (
-        rows.groupBy(*keys)
+        rows.join(base, keys)
+        .groupBy(*keys)
         .agg(
-            F.collect_list(F.struct("count", "mean", "M2")).alias("parts"),
             F.sum("count").alias("n"),
-            # means around the smallest one keep their low digits
-            F.min("mean").alias("base"),
+            F.first("base").alias("base"),
+            F.sum(F.col("count") * off).alias("s1"),
+            F.sum(F.col("count") * off * off).alias("s2"),
+            F.sum("M2").alias("m2"),
         )
-        .withColumn(
-            "mu",
-            F.col("base")
-            + F.aggregate(
-                "parts",
-                F.lit(0.0),
-                lambda acc, p: acc + p["count"] / F.col("n") * (p["mean"] - F.col("base")),
-            ),
+        .select(
+            *keys,
+            F.col("n").alias("count"),
+            (F.col("base") + F.col("s1") / F.col("n")).alias("mean"),
+            (F.col("m2") + F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0))).alias("M2"),
         )
-        .withColumn(
-            "m2",
-            F.aggregate(
-                "parts",
-                F.lit(0.0),
-                lambda acc, p: acc
-                + p["M2"]
-                + p["count"] * (p["mean"] - F.col("mu")) * (p["mean"] - F.col("mu")),
-            ),
-        )
-        .select(*keys, F.col("n").alias("count"), F.col("mu").alias("mean"), F.col("m2").alias("M2"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneward.dims import CITIES, COUNTRY_CITY, GAZETTEER, GRAPH_EDGES, SEARCH_TEMPLATES, dims
-from laneward.functions.text import ENTITIES, lane_key, strip_fences
+from laneward.functions.text import lane_key, strip_fences
 from laneward.operators import locate, mentions, ranking, routes
 from laneward.operators.scoring import with_identity
 from laneward.plans import warehouse as wh
@@ -176,10 +176,13 @@ def page_filter(spark: SparkSession, sf: str) -> DataFrame:
     return payloads.page_filter(fetched).select("page_id", "url")
 
 
+# The references that the pages hold, the ampersand last.
+PAGE_ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
+
 def _entities_sql(text: str) -> str:
-    for entity, shown in ENTITIES.items():
-        quoted = shown.replace("'", "''")
-        text = f"replace({text}, '{entity}', '{quoted}')"
+    for entity, shown in PAGE_ENTITIES:
+        text = f"replace({text}, '{entity}', '{shown}')"
     return text
 
 

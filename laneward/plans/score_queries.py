@@ -38,7 +38,7 @@ from laneward.operators.scoring import (
     weighted_contrib as contributions,
     with_factors,
 )
-from laneward.operators.stats import feature_stats as stats, merge_stats as merged
+from laneward.operators.stats import feature_stats as stats, merge_stats as merged, stats_long
 from laneward.plans import analyze as analysis
 from laneward.plans import warehouse as wh
 from laneward.plans.registry import query, r6
@@ -173,6 +173,31 @@ def news_features_any_time(spark: SparkSession, sf: str) -> DataFrame:
     return news_features(asked, wh.mentions(events)).withColumn("neg_tone_frac_3d", r6("neg_tone_frac_3d"))
 
 
+@query(f"""
+WITH {REQUESTS}, sightings AS (
+  SELECT user_id AS lane, event_id % 37 AS mention_id, ts, event_type = 'error' AS negative,
+         event_type = 'error' AND value > 150.0 AS strike
+  FROM events WHERE event_type <> 'signup'),
+counted AS (
+  SELECT r.request_id, count(DISTINCT m.mention_id) AS n,
+         count(DISTINCT CASE WHEN m.ts > r.created_at - INTERVAL 3 DAY THEN m.mention_id END) AS recent,
+         count(DISTINCT CASE WHEN m.ts > r.created_at - INTERVAL 3 DAY AND m.negative THEN m.mention_id END) AS bad,
+         coalesce(max(CAST(m.strike AS INTEGER)), 0) AS strike
+  FROM requests r LEFT JOIN sightings m
+    ON m.lane = r.lane AND m.ts > r.created_at - INTERVAL 7 DAY AND m.ts <= r.created_at
+  GROUP BY r.request_id)
+SELECT request_id, CAST(n AS INTEGER) AS news_vol_7d,
+       round(CASE WHEN recent > 0 THEN bad / recent ELSE 0.0 END, 6) AS neg_tone_frac_3d,
+       CAST(strike AS INTEGER) AS strike_flag_7d
+FROM counted""")
+def news_features_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions that are seen again, days apart: each counts once in a window."""
+    events = wh.table(spark, sf, "events")
+    again = wh.mentions(events).withColumn("mention_id", F.col("mention_id") % 37)
+    feats = news_features(wh.requests(events), again, grain="day")
+    return feats.withColumn("neg_tone_frac_3d", r6("neg_tone_frac_3d"))
+
+
 @query(f"WITH {REQUESTS}, {WEATHER} SELECT request_id, weather_anomaly_7d FROM weather")
 def weather_anomaly_days(spark: SparkSession, sf: str) -> DataFrame:
     events = wh.table(spark, sf, "events")
@@ -328,8 +353,7 @@ def feature_stats(spark: SparkSession, sf: str) -> DataFrame:
 def merge_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics per return flag, merged into those of the whole table."""
     lines = _stats_frame(spark, sf)
-    parts = [stats(lines.where(F.col("l_returnflag") == flag), ["quantity", "discount", "tax"]) for flag in "ANR"]
-    return _shown(merged(*parts))
+    return _shown(merged(stats_long(lines, ["l_returnflag"], ["quantity", "discount", "tax"]).drop("l_returnflag")))
 
 
 @query(STATS)

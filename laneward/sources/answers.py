@@ -96,12 +96,16 @@ def trade_json(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) trade answers.
 
     Text that does not parse means an empty answer (all defaults, no edges);
-    an answer that parses but has a bad number or a null ``edges`` is rejected.
+    an answer that parses but has a bad number or a null or scalar ``edges`` is
+    rejected; an object or text as ``edges`` holds none.
     """
     value = F.col("_v")
     given = F.coalesce(parsed(strip_fences(F.col(text))), F.parse_json(F.lit("{}")))
     edges = field(value, "$.edges", "array<variant>")
-    bad = ~is_kind(value, "OBJECT") | (~is_missing(value, "$.edges") & edges.isNull())
+    # an object or a text in place of the list holds no usable edge; null and scalars are errors
+    other = is_kind(field(value, "$.edges"), "OBJECT") | is_kind(field(value, "$.edges"), "STRING")
+    none_listed = edges.isNull() & ~F.coalesce(other, F.lit(False))
+    bad = ~is_kind(value, "OBJECT") | (~is_missing(value, "$.edges") & none_listed)
     for item in TRADE_ANSWER:
         bad = bad | _failed(value, item)
     no_edges = F.expr(
