@@ -427,6 +427,26 @@ def political_and_pressure_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT event_id AS request_id, event_type IN ('view', 'click') AS accepted, CAST(CASE WHEN event_type IN ('view', 'click') THEN 0 END AS INTEGER) AS n_edges
+FROM events""")
+def trade_answers_other_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """An object or a text as edges holds none; a number, a flag and null are errors."""
+    other = (
+        F.when(F.col("event_type") == "view", "{}")
+        .when(F.col("event_type") == "click", '"none"')
+        .when(F.col("event_type") == "purchase", "7")
+        .when(F.col("event_type") == "error", "true")
+        .otherwise("null")
+    )
+    text = F.concat(F.lit('{"edges":'), other, F.lit("}"))
+    rows = wh.table(spark, sf, "events").select(F.col("event_id").alias("request_id"), text.alias("answer"))
+    accepted, rejected = answers.trade_json(rows, "answer")
+    return accepted.select("request_id", F.lit(True).alias("accepted"), F.size("edges").alias("n_edges")).unionByName(
+        rejected.select("request_id", F.lit(False).alias("accepted"), F.lit(None).cast("int").alias("n_edges"))
+    )
+
+
 @query("""
 SELECT event_id AS request_id, event_type NOT IN ('error', 'signup') AS accepted,
        CASE event_type WHEN 'view' THEN round(value, 6) WHEN 'click' THEN 30.0 WHEN 'purchase' THEN 30.0 END AS inventory_days,
@@ -643,6 +663,28 @@ def city_match(spark: SparkSession, sf: str) -> DataFrame:
     return locate.city_match(rows, "loc")
 
 
+@query("""
+WITH texts AS (SELECT c_custkey, 'Port of ' || c_name || CASE WHEN c_nationkey % 2 = 0 THEN ' North' ELSE '' END AS loc FROM customer),
+hits AS (
+  SELECT t.c_custkey, min(c.c_custkey) AS n FROM texts t JOIN customer c ON contains(lower(t.loc), lower(c.c_name)) GROUP BY 1),
+lands AS (SELECT t.c_custkey, min(n_nationkey) AS n FROM texts t JOIN nation ON contains(lower(t.loc), lower(n_name)) GROUP BY 1)
+SELECT t.c_custkey, coalesce('c' || CASE WHEN h.n % 3 > 0 THEN h.n END, 'n' || l.n, '') AS city_id
+FROM texts t LEFT JOIN hits h USING (c_custkey) LEFT JOIN lands l USING (c_custkey)""")
+def city_match_long(spark: SparkSession, sf: str) -> DataFrame:
+    """A city list of as many rows as there are customers, a third of them without a name."""
+    customer = wh.table(spark, sf, "customer")
+    name = F.when(F.col("c_custkey") % 3 > 0, F.col("c_name"))
+    cities = customer.select(
+        F.col("c_custkey").cast("int").alias("priority"), F.concat(F.lit("c"), "c_custkey").alias("id"), name.alias("name")
+    )
+    lands = wh.table(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("int").alias("priority"), F.lower("n_name").alias("key"), F.concat(F.lit("n"), "n_nationkey").alias("city_id")
+    )
+    north = F.when(F.col("c_nationkey") % 2 == 0, " North").otherwise("")
+    rows = customer.select("c_custkey", F.concat(F.lit("Port of "), "c_name", north).alias("loc"))
+    return locate.city_match(rows, "loc", cities=cities, country_city=lands).select("c_custkey", "city_id")
+
+
 # ---------------------------------------------------------------------------
 # Routes
 # ---------------------------------------------------------------------------
@@ -746,6 +788,19 @@ def route_texts(spark: SparkSession, sf: str) -> DataFrame:
     return routes.route_text(paths).select("route", "n_lines")
 
 
+@query("""
+SELECT o_orderkey, c.c_name || ' → ' || 'x' || o_orderstatus || ' → ' || coalesce(d.c_name, 'c' || (o_custkey * 7)) AS route
+FROM orders JOIN customer c ON c.c_custkey = o_custkey LEFT JOIN customer d ON d.c_custkey = o_custkey * 7""")
+def route_texts_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths over a city list of as many rows as there are customers; some nodes are no city."""
+    cities = wh.table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"))
+    path = F.array(
+        F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("x"), "o_orderstatus"), F.concat(F.lit("c"), F.col("o_custkey") * 7)
+    )
+    paths = wh.table(spark, sf, "orders").select("o_orderkey", path.alias("path"))
+    return routes.route_text(paths, cities).select("o_orderkey", "route")
+
+
 CITY_EDGES = f"edges AS (SELECT src, dst, hardship FROM {values_sql(GRAPH_EDGES, 'e(n, src, dst, hardship)')})"
 
 

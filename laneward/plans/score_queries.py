@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from laneward.dims import FEATURES, MITIGATION, ROUTE_OPTIONS
 from laneward.functions.risk import clip01, factor_percent, risk_label, squash
-from laneward.operators.assemble import assemble_raw, attach_by_lane, attach_pressure
+from laneward.operators.assemble import assemble_raw, attach_by_lane, attach_pressure, pressure_periods
 from laneward.operators.features import (
     asof_features,
     news_features,
@@ -198,6 +198,25 @@ def news_features_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return feats.withColumn("neg_tone_frac_3d", r6("neg_tone_frac_3d"))
 
 
+@query("""
+WITH months AS (
+  SELECT strftime(ts, '%Y-%m') AS month, CASE WHEN month(min(ts)) % 3 > 0 THEN avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) END AS risk
+  FROM events GROUP BY 1),
+known AS (SELECT strptime(month || '-01', '%Y-%m-%d') AS start, risk FROM months WHERE risk IS NOT NULL)
+SELECT o_orderkey AS request_id, round((SELECT max_by(k.risk, k.start) FROM known k WHERE k.start <= o_orderdate), 6) AS global_risk
+FROM orders""")
+def pressure_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """A month-keyed index with months that have no value and one that is no month."""
+    error = F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0))
+    months = wh.table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(
+        F.when(F.month(F.min("ts")) % 3 > 0, error).alias("global_risk")
+    )
+    bad = spark.createDataFrame([("soon", 1.0)], "month string, global_risk double")
+    orders = wh.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("created_at"))
+    risk = attach_pressure(orders, pressure_periods(months.unionByName(bad)))
+    return risk.select("request_id", r6("global_risk").alias("global_risk"))
+
+
 @query(f"WITH {REQUESTS}, {WEATHER} SELECT request_id, weather_anomaly_7d FROM weather")
 def weather_anomaly_days(spark: SparkSession, sf: str) -> DataFrame:
     events = wh.table(spark, sf, "events")

@@ -16,10 +16,19 @@ from laneward.streaming.mentions import news_features_stream
 from laneward.streaming.stateful import normalize_stream, reuse_stream
 
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = wh.table(spark, sf, name).schema
-    # a pattern, so that a table may be one file or a folder of files
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
+BATCHES, FILES = 5, 2
+
+
+def _stream(spark: SparkSession, sf: str, name: str, by: str) -> DataFrame:
+    """The whole table as a stream of BATCHES slices in order of time, one slice per micro-batch."""
+    rows = wh.table(spark, sf, name)
+    path = f"{_folder(spark)}/{name}"
+    at = F.unix_micros(F.col(by).cast("timestamp"))
+    cuts = rows.select(at.cast("double").alias("t")).approxQuantile("t", [k / BATCHES for k in range(1, BATCHES)], 0.001)
+    slice_no = sum(((at > F.lit(int(c))).cast("int") for c in cuts), F.lit(0))
+    for k in range(BATCHES):
+        rows.where(slice_no == k).repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def _run(writer: DataStreamWriter, folder: str) -> None:
@@ -47,7 +56,7 @@ GROUP BY lane, as_of""".replace("SELECT lane, m.*,", "SELECT m.*,"))
 def news_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The closed windows of a one-day watermark."""
     folder = _folder(spark)
-    feats = news_features_stream(wh.mentions(_stream(spark, sf, "events")))
+    feats = news_features_stream(wh.mentions(_stream(spark, sf, "events", "ts")))
     _run(feats.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append"), folder)
     return spark.read.parquet(f"{folder}/out").select(
         "lane",
@@ -61,7 +70,7 @@ def news_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query(ORACLE["normalize_orders"])
 def normalize_order_stream(spark: SparkSession, sf: str) -> DataFrame:
     folder = _folder(spark)
-    raw = _stream(spark, sf, "orders").select(
+    raw = _stream(spark, sf, "orders", "o_orderdate").select(
         F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("price")
     )
     _run(normalize_stream(raw, ["price"], f"{folder}/state", f"{folder}/out"), folder)
@@ -72,7 +81,7 @@ def normalize_order_stream(spark: SparkSession, sf: str) -> DataFrame:
 def reuse_request_stream(spark: SparkSession, sf: str) -> DataFrame:
     folder = _folder(spark)
     customer = wh.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    asked = _stream(spark, sf, "events").join(customer, F.col("user_id") == F.col("c_custkey")).select(
+    asked = _stream(spark, sf, "events", "ts").join(customer, F.col("user_id") == F.col("c_custkey")).select(
         F.col("event_id").alias("request_id"),
         F.col("c_nationkey").alias("lane"),
         F.col("ts").cast("timestamp").alias("created_at"),
