@@ -64,5 +64,6 @@ def visible_text(html: Column) -> Column:
     return F.trim(text)
 
 
-def page_text_column(html: Column, cap: int = PAGE_TEXT_CAP) -> Column:
-    return F.substring(visible_text(html), 1, cap)
+def page_text_column(html: Column, cap: int | None = PAGE_TEXT_CAP) -> Column:
+    """Visible text cut to ``cap`` characters; None cuts nothing."""
+    return visible_text(html) if cap is None else F.substring(visible_text(html), 1, cap)

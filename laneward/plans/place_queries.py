@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from laneward.dims import CITIES, COUNTRY_CITY, GAZETTEER, GRAPH_EDGES, SEARCH_TEMPLATES, dims
 from laneward.functions.text import lane_key, strip_fences
-from laneward.operators import locate, mentions, ranking, routes
+from laneward.operators import locate, mentions, news_path, ranking, routes
 from laneward.operators.scoring import with_identity
 from laneward.plans import warehouse as wh
 from laneward.plans.registry import query, r6, values_sql
@@ -201,6 +201,73 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
     return shown.select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def _news_path(shown: str, links: int, fetched: str) -> str:
+    return rf"""
+WITH asked AS (
+  SELECT p.page_id % 20 AS request_id, p.page_id AS query_no, CAST(k + 1 AS INTEGER) AS rank, q.url AS link
+  FROM pages p, range(0, 8) t(k) JOIN pages q ON q.page_id = (p.page_id * 3 + k * 5) % (SELECT count(*) FROM pages)
+  WHERE k < {links}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY request_id, link ORDER BY query_no, rank) AS n FROM asked),
+placed AS (
+  SELECT request_id, link, row_number() OVER (PARTITION BY request_id ORDER BY query_no, rank, link) AS position
+  FROM numbered WHERE n = 1),
+shown AS (
+  SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY url
+  HAVING contains(arg_min(html, page_id), '</html>') AND NOT contains(url, '#top')),
+texts AS (SELECT url, {shown} AS text FROM shown),
+found AS (
+  SELECT request_id, count(*) AS n, string_agg(md5(text), ',' ORDER BY position) AS text_md5s
+  FROM placed JOIN texts ON url = link WHERE {fetched} GROUP BY 1),
+sources AS (SELECT request_id, string_agg(link, ' ' ORDER BY position) AS sources FROM placed WHERE position <= 10 GROUP BY 1)
+SELECT request_id, sources, CAST(coalesce(n, 0) AS INTEGER) AS n_texts, coalesce(text_md5s, '') AS text_md5s
+FROM sources LEFT JOIN found USING (request_id)"""
+
+
+WHOLE_TEXT = rf"trim(regexp_replace({VISIBLE}, '\s+', ' ', 'g'))"
+
+
+def _searched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Search answers that name other pages, eight to a query, and those pages as fetched."""
+    pages = wh.table(spark, sf, "pages")
+    total = pages.count()
+    target = F.pmod(F.col("page_id") * 3 + F.col("k") * 5, F.lit(total))
+    named = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).withColumn("to", target)
+    found = named.join(pages.select(F.col("page_id").alias("to"), "url"), "to")
+    items = F.transform(F.sort_array(F.collect_list(F.struct("k", "url"))), lambda x: F.struct(x["url"].alias("link")))
+    answers_ = found.groupBy("page_id").agg(F.to_json(F.struct(items.alias("organic_results"))).alias("payload"))
+    asked = answers_.select((F.col("page_id") % 20).alias("request_id"), F.col("page_id").alias("query_no"), "payload")
+    fetched = pages.withColumns(
+        {
+            "status": F.when(F.contains("html", F.lit("</html>")), 200).otherwise(206),
+            "content_type": F.when(F.contains("url", F.lit("#top")), "text/plain").otherwise("text/html; charset=utf-8"),
+        }
+    )
+    return asked, fetched
+
+
+def _path_rows(texts: DataFrame, sources: DataFrame) -> DataFrame:
+    at = F.sort_array(F.collect_list(F.struct("position", F.md5("text").alias("m"))))
+    held = texts.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("n"), at.alias("at"))
+    return sources.join(held, "request_id", "left").select(
+        "request_id", F.array_join("sources", " ").alias("sources"), F.coalesce("n", F.lit(0)).alias("n_texts"),
+        F.coalesce(F.array_join(F.col("at.m"), ","), F.lit("")).alias("text_md5s"),
+    )
+
+
+@query(_news_path(f"substring({WHOLE_TEXT}, 1, 5000)", 6, "position <= 8"))
+def news_text_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Links to first seen, to pages, to texts, with each request's first ten links."""
+    asked, fetched = _searched(spark, sf)
+    return _path_rows(*news_path.news_texts(payloads.search_links(asked), fetched))
+
+
+@query(_news_path(WHOLE_TEXT, 8, "TRUE"))
+def news_text_path_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with every result, every page and whole texts."""
+    asked, fetched = _searched(spark, sf)
+    return _path_rows(*news_path.news_texts(payloads.search_links(asked, num=None), fetched, fetched=None, cap=None))
+
+
 @query(r"""
 WITH fenced AS (
   SELECT doc_id, CASE lang WHEN 'en' THEN '```json' || chr(10) || text || chr(10) || '```' WHEN 'fr' THEN ' ' || text || chr(9)

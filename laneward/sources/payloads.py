@@ -72,14 +72,14 @@ RESULTS_PER_QUERY = 6
 def search_links(
     raw: DataFrame,
     by: Sequence[str] = ("request_id", "query_no"),
-    num: int = RESULTS_PER_QUERY,
+    num: int | None = RESULTS_PER_QUERY,
     payload: str = "payload",
 ) -> DataFrame:
-    """(by, rank, link): non-empty links among the first ``num`` results of a query."""
+    """(by, rank, link): non-empty links among the first ``num`` results of a query, or all of them."""
     results = field(parsed(F.col(payload)), "$.organic_results", "array<variant>")
     return (
         raw.select(*by, F.posexplode(results).alias("pos", "item"))
-        .where(F.col("pos") < num)
+        .where(F.lit(True) if num is None else F.col("pos") < num)
         .select(*by, (F.col("pos") + 1).alias("rank"), field(F.col("item"), "$.link", "string").alias("link"))
         .where("link is not null and link <> ''")
     )
@@ -90,7 +90,7 @@ def page_filter(pages: DataFrame) -> DataFrame:
     return pages.where((F.col("status") == 200) & F.contains(F.col("content_type"), F.lit("text/html")))
 
 
-def page_text(pages: DataFrame, html: str = "html", cap: int = PAGE_TEXT_CAP) -> DataFrame:
+def page_text(pages: DataFrame, html: str = "html", cap: int | None = PAGE_TEXT_CAP) -> DataFrame:
     """Add ``text``: the visible text of the whole page, then cut to ``cap``."""
     return pages.where(F.col(html).isNotNull()).withColumn("text", page_text_column(F.col(html), cap))
 
