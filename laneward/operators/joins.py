@@ -9,6 +9,7 @@ from laneward.session import cut_lineage
 
 BROADCAST_ROWS = 100_000
 HOT_ROWS = 5_000_000
+NULL_PARTS = 1024
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -21,7 +22,8 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, spread_by: Column)
 
     A table that proves short is broadcast, so the rows stay where they are.
     Otherwise keys with more than HOT_ROWS rows are split into parts by a hash
-    of ``spread_by``, with a copy of the key's table row for each part.
+    of ``spread_by``, with a copy of the key's table row for each part, and rows
+    with a null key are spread likewise.
     """
     stored = cut_lineage(table)
     if is_small(stored):
@@ -29,11 +31,11 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, spread_by: Column)
     copies = F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("_copies")
     counted = rows.groupBy(key).count().where(F.col("count") > HOT_ROWS).select(key, copies)
     hot = cut_lineage(counted)
-    if hot.isEmpty():
-        return rows.join(stored, key, "left")
     # at most one hot key per HOT_ROWS rows
     hot = F.broadcast(hot) if is_small(hot) else hot
     parts = F.coalesce("_copies", F.lit(1))
-    spread = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
+    # rows without a key match nothing: they are dealt by their hash, not all to one task
+    part = F.pmod(F.xxhash64(spread_by), F.when(F.col(key).isNull(), F.lit(NULL_PARTS)).otherwise(parts))
+    spread = rows.join(hot, key, "left").withColumn("_part", part.cast("int"))
     copied = stored.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return spread.drop("_copies").join(copied.drop("_copies"), [key, "_part"], "left").drop("_part")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneward.dims import SEARCH_TEMPLATES
-from laneward.operators.joins import is_small
+from laneward.operators.joins import is_small, lookup_join
 from laneward.session import cut_lineage
 
 HOT_TERM = 100_000
@@ -101,7 +101,11 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     copies = F.ceil(F.col("df") / HOT_TERM).cast("int")
     probes = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     split = chosen.select("term", copies.alias("copies")).distinct()
-    placed = postings.join(F.broadcast(split) if small else split, "term").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
+    placed = (
+        lookup_join(postings, split, "term", F.col("doc_id"))
+        .where("copies IS NOT NULL")
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
+    )
     candidates = probes.join(placed.select("term", "salt", "doc_id"), ["term", "salt"]).select(
         "query", "required", "any_of", "doc_id"
     )

@@ -577,6 +577,20 @@ def mention_match(spark: SparkSession, sf: str) -> DataFrame:
     return mentions.requests_of_matches(asked, found)
 
 
+@query(f"""
+WITH {QUESTIONS}, choices AS (SELECT item_id, list(w) FILTER (n <= 3) AS any_of FROM longest GROUP BY 1)
+SELECT item_id AS request_id, doc_id FROM choices, docs WHERE list_has_any(ws, any_of)""")
+def mention_match_any(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries of alternatives alone: the three longest words of each benchmark text."""
+    ordered = F.array_sort(
+        F.transform(mentions.terms(F.col("text")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+    )
+    words = F.transform(F.slice(ordered, 1, 3), lambda s: s["w"])
+    asked = wh.table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), F.array_join(words, " OR ").alias("query"))
+    found = mentions.mention_match(wh.table(spark, sf, "documents").select("doc_id", "text"), asked)
+    return mentions.requests_of_matches(asked, found)
+
+
 # ---------------------------------------------------------------------------
 # Places
 # ---------------------------------------------------------------------------

@@ -10,7 +10,8 @@ import laneward.operators.joins as joins
 def test_lookup_join(spark, monkeypatch, broadcast_rows, hot_rows):
     monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
     monkeypatch.setattr(joins, "is_small", lambda df, limit=broadcast_rows: df.limit(limit + 1).count() <= limit)
-    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40).cast("int").alias("k"))
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 > 0, F.col("id") % 40)  # the rest are null
+    rows = spark.range(3000).select("id", key.cast("int").alias("k"))
     table = spark.range(30).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))
     got = {r.id: (r.k, r.v) for r in joins.lookup_join(rows, table, "k", F.col("id")).collect()}
-    assert got == {r.id: (r.k, r.k * 10 if r.k < 30 else None) for r in rows.collect()}
+    assert got == {r.id: (r.k, r.k * 10 if r.k is not None and r.k < 30 else None) for r in rows.collect()}
