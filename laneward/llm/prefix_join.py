@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from laneward.llm.common import IdFilter, byte_column, mixed, window_hashes, word_hashes, written
 from laneward.llm.components import components
 
-#: Counters of the frequency sketch that orders shingles, and how many go in one row.
-SKETCH, SLICE = 1 << 21, 1 << 10
-#: Sets in one tree, at most about twice this.
+#: Shingles whose hash is below this are the front of the global order; their frequencies are counted.
+FRONT = (5 << 64) // 16
+#: Documents in one tree, at most about twice this.
 TREE_SETS = 512
 #: Elements of a tree's edge that are compared before its bound is tested again.
 STEP = 64
@@ -32,22 +32,13 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(window_hashes(hashes, size))
 
 
-def ordered(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The set in the global order: by the counter of a shingle, rare first, then by hash.
-
-    Any order that all sets share is right; this one puts what many documents
-    share behind what few do.
-    """
-    return grams[np.lexsort((grams, sketch[(grams & np.uint64(SKETCH - 1)).astype(np.int64)]))]
-
-
 def least_overlap(n: int, m: int, percent: int) -> int:
     """Common elements that two sets of n and m need for a similarity of percent / 100."""
     return -(-percent * (n + m) // (100 + percent))
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """First elements of a set of n of which a similar set shares one."""
+    """First elements of a set of n, in any global order, of which a similar set shares one."""
     return n - -(-percent * n // 100) + 1
 
 
@@ -136,86 +127,45 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
 
 
-def _signed(grams: np.ndarray) -> np.ndarray:
-    return grams.view(np.int64)
-
-
-def shingled(docs: DataFrame, size: int) -> DataFrame:
-    """Two kinds of rows from one scan: (doc_id, n, d1, d2), the count and digest of each set, and
-    (slice, counts), each task's part of the frequency sketch."""
+def described(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, front, d1, d2): the size of each set, its elements in front, and a digest."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, wait, held = np.zeros(SKETCH, np.int64), [], 0
         for batch in batches:
-            n, d1, d2 = [], [], []
+            n, front, d1, d2 = [], [], [], []
             for text in byte_column(batch, "text"):
                 grams = shingles(text, size)
                 digest = xxhash.xxh3_128_digest(grams.tobytes())
                 n.append(len(grams))
+                front.append(int(np.searchsorted(grams, np.uint64(FRONT))))
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                wait.append((grams & np.uint64(SKETCH - 1)).astype(np.int64))
-                held += len(grams)
-                if held > SKETCH:
-                    total += np.bincount(np.concatenate(wait), minlength=SKETCH)
-                    wait, held = [], 0
-            m = len(n)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
-                    pa.array(d2, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
-                ],
-                names=["doc_id", "n", "d1", "d2", "slice", "counts"],
-            )
-        if wait:
-            total += np.bincount(np.concatenate(wait), minlength=SKETCH)
-        parts = total.reshape(-1, SLICE)
-        used = np.flatnonzero(parts.any(axis=1))
-        m = len(used)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                pa.array(used.astype(np.int32)), pa.array([parts[i].astype("<u4").tobytes() for i in used], pa.binary()),
-            ],
-            names=["doc_id", "n", "d1", "d2", "slice", "counts"],
-        )
-
-    return docs.mapInArrow(scanned, "doc_id long, n long, d1 long, d2 long, slice int, counts binary")
-
-
-def frequency_sketch(scanned: DataFrame) -> np.ndarray:
-    """The summed sketch: SKETCH counters whatever the input holds."""
-
-    def summed(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_py(), "<u4").astype(np.int64) for c in table.column("counts"))
-        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, front, d1, d2))],
+                names=["doc_id", "n", "front", "d1", "d2"],
+            )
 
-    rows = scanned.where("slice IS NOT NULL").select("slice", "counts")
-    total = np.zeros((SKETCH // SLICE, SLICE), np.int64)
-    for row in rows.groupBy("slice").applyInArrow(summed, "slice int, counts binary").toLocalIterator():
-        total[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return total.ravel()
+    return docs.mapInArrow(scanned, "doc_id long, n long, front long, d1 long, d2 long")
 
 
-def postings(docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
-    """(token, doc_id): the prefix of each set. Of equal sets that one task meets only the first is taken."""
+def postings(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(token, doc_id): each set's elements in front, and if those are fewer than its prefix the next by
+    hash. Of equal sets that one task meets only the first is taken."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, seen = sketch.value, set()
+        seen = set()
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             tokens, owners = [], []
-            for doc, text in zip(ids, byte_column(batch, "text")):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), byte_column(batch, "text")):
                 grams = shingles(text, size)
-                if not len(grams):
-                    continue
                 digest = xxhash.xxh3_128_digest(grams.tobytes())
-                if digest in seen:
+                if not len(grams) or digest in seen:
                     continue
                 seen.add(digest)
-                prefix = ordered(grams, counters)[: prefix_length(len(grams), percent)]
-                tokens.append(_signed(prefix))
-                owners.append(np.full(len(prefix), doc, np.int64))
+                front = int(np.searchsorted(grams, np.uint64(FRONT)))
+                some = grams[: max(front, prefix_length(len(grams), percent))]
+                tokens.append(some.view(np.int64))
+                owners.append(np.full(len(some), doc, np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], names=["token", "doc_id"]
@@ -224,24 +174,41 @@ def postings(docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
     return docs.mapInArrow(scanned, "token long, doc_id long")
 
 
-def gram_sets(docs: DataFrame, size: int, sketch) -> DataFrame:
-    """(doc_id, grams): each set in the global order."""
+def shared_prefixes(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(token, doc_id): the elements of each prefix that another set has in front as well.
 
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = sketch.value
-        for batch in batches:
-            sets = [ordered(shingles(t, size), counters).tobytes() for t in byte_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "grams"])
+    The global order: front before rest; in front by frequency, then hash; the
+    rest by hash. An element that one set alone has comes first and meets nobody,
+    so it is only counted; a set with enough of those has no partner at all.
+    """
+    held = tokens.select("token", "doc_id", F.count("*").over(Window.partitionBy("token")).alias("df")).where("df > 1")
+    # unsigned order of hashes: the front is what a shift by the sign bit leaves below the bound
+    behind = (F.col("token") < 0) | (F.col("token") >= F.lit(FRONT))
+    listed = held.groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.when(~behind, F.struct("df", "token")))).alias("front_list"),
+        F.collect_set(F.when(behind, F.col("token"))).alias("rest_list"),
+    )
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    alone = F.col("front") - F.size("front_list")
+    room = F.greatest(prefix - alone, F.lit(0)).cast("int")
+    return (
+        listed.join(sets.select("doc_id", "n", "front"), "doc_id")
+        .select("doc_id", F.concat(F.slice("front_list", 1, room)["token"], "rest_list").alias("t"))
+        .select("doc_id", F.explode("t").alias("token"))
+        .distinct()
+    )
 
-    return docs.mapInArrow(scanned, "doc_id long, grams binary")
 
+def _sets(table: pa.Table, size: int) -> list[np.ndarray]:
+    return [shingles(t.as_py(), size) for t in table.column("text").cast(pa.binary())]
 
-def _linked_in(percent: int):
+
+def _linked_in(size: int, percent: int):
     """All links inside a unit, as (doc, root) of a spanning forest; core: linked with the leader."""
 
     def linked(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_pylist()
-        sets = [np.frombuffer(g.as_py(), np.uint64) for g in table.column("grams")]
+        sets = _sets(table, size)
         leader = table.column("leader")[0].as_py()
         forest, tree = Forest(len(ids)), PrefixTree(sets)
         first: dict[int, int] = {}
@@ -265,12 +232,12 @@ def _linked_in(percent: int):
     return linked
 
 
-def _linked_across(percent: int):
+def _linked_across(size: int, percent: int):
     """Links between the probes and the members of a unit."""
 
     def linked(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_pylist()
-        sets = [np.frombuffer(g.as_py(), np.uint64) for g in table.column("grams")]
+        sets = _sets(table, size)
         probing, core = table.column("probes").to_pylist(), table.column("core").to_pylist()
         forest = Forest(len(ids) + 1)
         members = [i for i in range(len(ids)) if not probing[i]]
@@ -300,12 +267,13 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
     Method: sets are put in one global order, rare shingles first; similar sets
     share a shingle of their prefixes. Documents that share one meet in the
-    group of the least of them. A group is dealt in chunks, each a prefix tree
-    that every member walks, so that sets with a common beginning share its
-    overlap and subtrees end where the length left cannot reach the bound; pairs
-    already connected are not compared. Members not linked with their group's
-    least document meet the other chunks too, so no link between different
-    components is lost, and a large group of near copies costs one walk each.
+    group of the least of them. A group is dealt in chunks, each a prefix tree of
+    sets in hash order that every member walks, so that sets with a common
+    beginning share its overlap and subtrees end where the length left cannot
+    reach the bound; pairs already connected are not compared. Members not linked
+    with their group's least document meet the other chunks too, so no link
+    between different components is lost, and a large group of near copies costs
+    one walk each.
 
     Equal sets are one class with its least id. Null text and texts without
     words have 0 shingles and their own id as component. A null id takes no part
@@ -313,18 +281,18 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     texts are taken whole; an empty table gives no rows; other columns are
     ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = written(shingled(rows, size), "shingled")
-    sketch = spark.sparkContext.broadcast(frequency_sketch(scanned))
-    sets = scanned.where("slice IS NULL").select("doc_id", "n", "d1", "d2")
-    reps = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classes = written(sets.join(reps, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "classes")
+    sets = written(described(rows, size), "sets")
+    reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    belongs = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep"))
+    classes = written(
+        sets.join(reps, ["d1", "d2"], "left").select("doc_id", "n", belongs.alias("rep")), "classes"
+    )
 
     known = rows.where("doc_id IS NOT NULL")
     meet = Window.partitionBy("token").orderBy("doc_id")
     stars = written(
-        postings(known, size, percent, sketch)
+        shared_prefixes(postings(known, size, percent), sets.where("doc_id IS NOT NULL"), percent)
         .withColumn("leader", F.first("doc_id").over(meet))
         .where("leader < doc_id")
         .select("leader", "doc_id")
@@ -344,12 +312,12 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         "members",
     )
     needed = members.select("doc_id").distinct()
-    grams = gram_sets(IdFilter.of(needed, "doc_id").passing(known, "doc_id").join(needed, "doc_id", "left_semi"), size, sketch)
+    texts = IdFilter.of(needed, "doc_id").passing(known, "doc_id")
     inside = written(
-        members.join(grams, "doc_id")
-        .select("leader", "chunk", "doc_id", "grams")
+        members.join(texts, "doc_id")
+        .select("leader", "chunk", "doc_id", "text")
         .groupBy("leader", "chunk")
-        .applyInArrow(_linked_in(percent), "leader long, chunk int, doc_id long, root long, core boolean"),
+        .applyInArrow(_linked_in(size, percent), "leader long, chunk int, doc_id long, root long, core boolean"),
         "inside",
     )
     links = inside.where("doc_id != root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
@@ -372,9 +340,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         ).distinct()
         across = (
             probes.unionByName(targets)
-            .join(grams, "doc_id")
+            .join(texts, "doc_id")
             .groupBy("leader", "chunk", "block")
-            .applyInArrow(_linked_across(percent), "a long, b long")
+            .applyInArrow(_linked_across(size, percent), "a long, b long")
         )
         links = links.unionByName(written(across, "across"))
 
