@@ -185,7 +185,9 @@ def resolve_pair(
 
     def side(df: DataFrame, location: str, prefix: str) -> DataFrame:
         if provider_1 is None and provider_2 is None:
-            found = geocode_lookup(df, location, gazetteer).drop("place_key")
+            # each distinct text is looked up once
+            places = geocode_lookup(df.select(location).distinct(), location, gazetteer).drop("place_key")
+            found = lookup_join(df, places, location, F.struct(*df.columns))
         else:
             empty = (provider_1 or provider_2).limit(0)
             found = geocode_resolve(df, location, provider_1 or empty, provider_2 or empty, gazetteer)

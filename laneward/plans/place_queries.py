@@ -811,6 +811,30 @@ def route_distances(spark: SparkSession, sf: str) -> DataFrame:
     return routes.route_distance(edges, _traded(edges))
 
 
+@query("""
+WITH RECURSIVE edges AS (
+  SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, CAST(min(l_quantity) AS INTEGER) AS hardship FROM lineitem GROUP BY 1, 2),
+und AS (SELECT src, dst, hardship FROM edges UNION ALL SELECT dst, src, hardship FROM edges),
+asked AS (SELECT 's' || s_suppkey AS start, 'p' || (s_suppkey * 7) AS "end" FROM supplier WHERE s_suppkey % 25 = 1),
+grown AS (
+  SELECT 0 AS k, start, start AS node, CAST(0 AS BIGINT) AS d FROM asked
+  UNION ALL
+  SELECT k + 1, start, node, min(d) FROM (
+    SELECT k, start, node, d FROM grown
+    UNION ALL SELECT k, g.start, e.dst, g.d + e.hardship FROM grown g JOIN und e ON e.src = g.node) WHERE k < 16 GROUP BY 1, 2, 3)
+SELECT start, "end", d AS hardship FROM asked LEFT JOIN (SELECT * FROM grown WHERE k = 16) g USING (start) WHERE node = "end"
+UNION ALL SELECT start, "end", NULL FROM asked a WHERE NOT EXISTS (SELECT 1 FROM grown g WHERE g.start = a.start AND node = a."end")""")
+def route_distances_large(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers and parts as one large graph, of which few pairs are asked."""
+    edges = wh.table(spark, sf, "lineitem").groupBy(
+        F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")
+    ).agg(F.min("l_quantity").cast("int").alias("hardship"))
+    asked = wh.table(spark, sf, "supplier").where("s_suppkey % 25 = 1").select(
+        F.concat(F.lit("s"), "s_suppkey").alias("start"), F.concat(F.lit("p"), F.col("s_suppkey") * 7).alias("end")
+    )
+    return routes.route_distance(cut_lineage(edges), asked)
+
+
 @query(f"""
 WITH RECURSIVE {NATION_EDGES}, {UNDIRECTED}, {BEST}
 SELECT start, "end", array_to_string(label.p, '>') AS path, label.d AS hardship, label.h AS hops FROM traded""")
