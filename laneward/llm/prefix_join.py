@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from laneward.llm.common import IdFilter, byte_column, mixed, window_hashes, word_hashes, written
 from laneward.llm.components import components
+from laneward.operators.joins import lookup_join
 
 #: Shingles whose hash is below this are the front of the global order; their frequencies are counted.
 FRONT = (5 << 64) // 16
@@ -301,7 +302,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     )
     sizes = stars.groupBy("leader").agg(F.ceil((F.count("*") + 1) / TREE_SETS).cast("int").alias("chunks"))
     members = written(
-        stars.join(sizes, "leader")
+        lookup_join(stars, sizes, "leader", F.col("doc_id"))
         .select("leader", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id")
         .unionByName(
             sizes.select(
