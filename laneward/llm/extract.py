@@ -31,6 +31,8 @@ CLOSES = {
 #: An element started inside these does not close what is open outside of them.
 SCOPE = frozenset("table ul ol dl div section article body html td th blockquote".split())
 DROPPED = frozenset("nav footer aside form menu dialog button select search head".split())
+#: What may stand in head; anything else, and any text, ends a head whose end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 LANDMARK = frozenset({"article", "main"})
 #: Words in class, id or role that mark menus, notices, adverts and reader comments.
 HINTS = frozenset(
@@ -109,10 +111,18 @@ class Page:
                 self._chars("<")
                 at = lt + 1
 
+    def _leave_head(self) -> None:
+        if self.tag[self.open[-1]] == "head":
+            self.open.pop()
+
     def _chars(self, raw: str) -> None:
+        if self.tag[self.open[-1]] == "head" and not raw.isspace():
+            self._leave_head()
         self.text.append((self.open[-1], self.block, raw))
 
     def _start(self, name: str, attributes: str) -> None:
+        if name not in IN_HEAD:
+            self._leave_head()
         if name == "br":
             self._chars(" ")
         if name in ("td", "th"):

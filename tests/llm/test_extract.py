@@ -39,6 +39,16 @@ def test_broken_markup():
     assert len(main_text(page("<article><p>" + "x" * 300_000 + "</article>"))) == 300_000
 
 
+def test_end_tags_left_out():
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title> <link href=x><style>p{}</style><script>1</script>\n"
+    for start in ("<body>", "", "<div>"):
+        assert main_text(f"{head}{start}<article>{ARTICLE}") == WANT
+        assert main_text(f"{head}{start}<nav><a href=/>Home</a></nav><article>{ARTICLE}</article></body></html>") == WANT
+    assert main_text(f"{head}Only <b>text</b>") == "Only text"
+    assert main_text(f"{head}<p>one<p>two") == "one\ntwo"
+    assert main_text(f"<head><title>T</title></head>{ARTICLE}") == WANT
+
+
 def test_all_pages_of_the_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     sources = {r.page_id: r.html for r in pages.collect()}
