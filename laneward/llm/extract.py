@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -34,27 +35,46 @@ DROPPED = frozenset("nav footer aside form menu dialog button select search head
 #: What may stand in head; anything else, and any text, ends a head whose end tag is left out.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 LANDMARK = frozenset({"article", "main"})
-#: Words in class, id or role that mark menus, notices, adverts and reader comments.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Words in class, id or role that mark menus, notices, adverts and reader comments. A token is a
+#: hint if it is one of them or is made of them and words of PLACES before or PARTS after them.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination "
     "paywall popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+PLACES = frozenset("bottom desktop footer global left main mobile primary right secondary site sticky sub top".split())
+PARTS = frozenset("area bar block box button buttons container form inner item items links list panel slot unit wrap wrapper".split())
+COMPOUNDS = frozenset(
+    "article-comments comment-author comment-body comment-content comment-meta comment-text comments-section "
+    "entry-comments post-comments post-navigation posts-navigation reader-comments related-articles related-content "
+    "related-news related-posts related-stories user-comments widget-title".split()
+)
+TITLES = frozenset("header masthead".split())
+READERS = frozenset("comment comments disqus replies respond".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]{0,65535}+"|'[^']{0,65535}+'|[^'">])*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _CLOSE_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
-def _hinted(attributes: str) -> bool:
-    for value in _MARK.findall(attributes):
-        for token in unescape(value.strip("\"'")).lower().split():
-            parts = re.split(r"[-_]+", token)
-            if token in HINTS or parts[0] in HINTS or parts[-1] in HINTS:
-                return True
-    return False
+def _hints(attributes: str) -> frozenset[str]:
+    """The words of HINTS that mark an element, by its class, id and role."""
+    found: set[str] = set()
+    for key, value in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id", "role"):
+            for token in unescape(value.strip("\"'")).lower().split():
+                parts = [p for p in re.split(r"[-_]+", token) if p and not p.isdigit()]
+                words = [k for k, p in enumerate(parts) if p in HINTS]
+                if words and (
+                    "-".join(parts) in COMPOUNDS
+                    or all(p in PLACES for p in parts[: words[0]])
+                    and all(p in HINTS or p in PARTS for p in parts[words[0] :])
+                ):
+                    found.update(parts[k] for k in words)
+    return frozenset(found)
 
 
 class Page:
@@ -65,10 +85,13 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.drop = ["#root"], [0], [False]
+        self.hints: dict[int, frozenset[str]] = {}
+        self.lesser: set[int] = set()  # articles that are comments, adverts or teasers themselves
         self.text: list[tuple[int, int, str]] = []
         self.block = 0
         self.open = [0]
         self._parse(html)
+        self._drop_hinted()
 
     def _parse(self, html: str) -> None:
         at, n = 0, len(html)
@@ -138,7 +161,14 @@ class Page:
         drop = self.drop[parent]
         if not drop and name not in ("html", "body", *LANDMARK):
             inside = any(self.tag[i] in LANDMARK for i in self.open)
-            drop = name in DROPPED or name == "header" and not inside or bool(attributes) and _hinted(attributes)
+            drop = name in DROPPED or name == "header" and not inside
+            hints = _hints(attributes) if attributes and not drop and name not in HEADINGS else frozenset()
+            if inside:
+                hints = frozenset() if name == "header" else hints - TITLES
+            if hints:
+                self.hints[len(self.tag)] = hints
+        elif name == "article" and attributes and _hints(attributes):
+            self.lesser.add(len(self.tag))
         self.tag.append(name)
         self.parent.append(parent)
         self.drop.append(drop)
@@ -163,6 +193,48 @@ class Page:
                 del self.open[depth:]
                 return
 
+    def _drop_hinted(self) -> None:
+        """Drop what hints mark, and all it holds, but no element that holds a landmark of the article.
+
+        An element that holds a landmark is doubtful. It stays if it holds main. If it marks
+        reader comments, it stays only if it holds one article, most of the text, and no
+        landmark has text outside of it. Else it stays if no landmark has text outside of it
+        or at most half of its text is links. Articles with hints of their own do not count.
+        """
+        if not self.hints:
+            return
+        n = len(self.tag)
+        last, chars, links, linked = list(range(1, n + 1)), [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
+        for i, _, raw in self.text:
+            if not self.drop[i]:
+                size = len(" ".join(raw.split()))
+                chars[i] += size
+                links[i] += size * linked[i]
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            last[p] = max(last[p], last[i])
+            chars[p] += chars[i]
+            links[p] += links[i]
+        marks = [i for i in range(n) if self.tag[i] in LANDMARK and not self.drop[i] and i not in self.lesser]
+        for i, hints in self.hints.items():
+            if self.drop[i]:
+                continue
+            held = marks[bisect_right(marks, i) : bisect_left(marks, last[i])]
+            if held:
+                if any(self.tag[m] == "main" for m in held):
+                    continue
+                alone = not any(
+                    not self.drop[m] and chars[m] > chars[i] * (m < i < last[m]) for m in marks if not i < m < last[i]
+                )
+                if hints & READERS:
+                    if alone and len(held) == 1 and 2 * chars[i] > chars[0]:
+                        continue
+                elif alone or 2 * links[i] <= chars[i]:
+                    continue
+            self.drop[i : last[i]] = [True] * (last[i] - i)
+
     def densities(self) -> tuple[list[float], list[float], list[int]]:
         """For each element: composite density, sum over its children, characters. Dropped ones count nothing."""
         n = len(self.tag)
@@ -199,7 +271,8 @@ def main_text(html: str | None) -> str:
     """The main text of a page: blocks in page order, parted by one line feed.
 
     Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
-    and reader comments are left out by element name and by class, id and role.
+    and reader comments are left out by element name and by class, id and role;
+    a class, id or role never drops what holds the article, nor a heading.
     Of what is left the subtree with the largest sum of densities is sought. If a
     landmark (article, main) holds it or is held by it, the whole landmark is the
     main text; else every element on or beside the path from it to the body whose

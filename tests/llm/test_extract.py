@@ -49,6 +49,30 @@ def test_end_tags_left_out():
     assert main_text(f"<head><title>T</title></head>{ARTICLE}") == WANT
 
 
+def test_hints_keep_the_article():
+    wrappers = ("with-sidebar", "has-sidebar", "no-comments", "no-ads", "content-sidebar-wrap", "sidebar", "comments", "promo banner")
+    for hint in wrappers:
+        for inner in (f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>", f"<main><article>{ARTICLE}</article></main>"):
+            assert main_text(page(f"<div class='{hint}'><div>{inner}</div></div><p>Other</p>")) == WANT, hint
+    for title in ("<header class='entry-header'>{}</header>", "<div class='article-header'>{}</div>", "<div class=header>{}</div>", "<div id=notice-1-a>{}</div>"):
+        assert main_text(page("<article>" + title.format("<h1 class=banner id=comments>T</h1>") + "<p>Text</p></article>")) == "T\nText"
+    for name in ("related-work", "social-history", "notice-of-appeal", "comments-on-the-draft"):
+        assert main_text(page(f"<article><p>A</p><section id={name}><h2 id={name}>B</h2><p>C</p></section></article>")) == "A\nB\nC"
+    assert main_text(page("""<article><p data-x='<i class="ad" '>A</p></article>""")) == "A"
+
+
+def test_hints_still_drop():
+    for hint in ("ad", "ad-slot-3", "cookie-notice", "site_footer", "comment-list", "related-posts", "share-buttons", "main-nav", "newsletter-signup"):
+        assert main_text(page(f"<article>{ARTICLE}<div class='x {hint}'>Buy <b>now</b></div></article>")) == WANT, hint
+    comment = "<article class=comment-body><p>I disagree with all of this very long text</p></article>"
+    teaser = "<article><a href=1>Read more about this</a></article>"
+    for other in (f"<div id=comments>{comment}{comment}</div>", f"<div id=comments>{teaser}{teaser}</div>", f"<div class=related>{teaser}{teaser}</div>"):
+        assert main_text(page(f"<main><article>{ARTICLE}</article>{other}</main>")) == WANT
+        assert main_text(page(f"<article>{ARTICLE}</article>{other}")) == WANT
+    text = "word " * 60
+    assert main_text(page(f"<div><p>{text}</p><p>{text}</p></div><div id=comments>{comment}{comment}</div>")) == f"{text.strip()}\n{text.strip()}"
+
+
 def test_all_pages_of_the_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     sources = {r.page_id: r.html for r in pages.collect()}
