@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math object".split())
+RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead "
-    "tr ul".split()
+    "tr ul xmp".split()
 )
 CLOSES = {
     "li": frozenset({"li"}),
@@ -30,8 +30,16 @@ CLOSES = {
     "option": frozenset({"option"}),
 }
 #: An element started inside these does not close what is open outside of them.
-SCOPE = frozenset("table ul ol dl div section article body html td th blockquote".split())
-DROPPED = frozenset("nav footer aside form menu dialog button select search head".split())
+SCOPE = frozenset("table ul ol dl div section article body html td th blockquote svg object template".split())
+DROPPED = frozenset("nav footer aside form menu dialog button select search head svg template".split())
+FOREIGN = frozenset({"svg", "math"})
+#: Elements of svg and math that hold HTML; outside of them these HTML start tags end an open svg or math.
+HOLDS_HTML = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+LEAVES = frozenset(
+    "article aside b big blockquote body br center code dd div dl dt em embed figure footer form h1 h2 h3 h4 h5 h6 head "
+    "header hr i img li listing main menu meta nav nobr ol p pre ruby s section small span strong strike sub sup table "
+    "tt u ul var".split()
+)
 #: What may stand in head; anything else, and any text, ends a head whose end tag is left out.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 LANDMARK = frozenset({"article", "main"})
@@ -90,6 +98,7 @@ class Page:
         self.text: list[tuple[int, int, str]] = []
         self.block = 0
         self.open = [0]
+        self.foreign = False  # whether an svg or math was met
         self._parse(html)
         self._drop_hinted()
 
@@ -126,7 +135,13 @@ class Page:
                 if found[1]:
                     self._end(name)
                 elif name in RAW:
+                    if found[3].rstrip().endswith("/") and self._in_foreign():
+                        continue
                     close = _CLOSE_RAW[name].search(html, at)
+                    if name == "xmp":
+                        self._start(name, found[3].rstrip("/ \t\n\r\f"))
+                        self._chars(html[at : close.start() if close else n].replace("&", "&amp;"))
+                        self._end(name)
                     at = n if close is None else close.end()
                 else:
                     self._start(name, found[3])
@@ -134,6 +149,17 @@ class Page:
                 self._chars("<")
                 at = lt + 1
 
+    def _in_foreign(self) -> bool:
+        return self.foreign and any(self.tag[i] in FOREIGN for i in self.open)
+
+    def _leave_foreign(self) -> None:
+        depth, top = len(self.open), len(self.open)
+        while depth > 1 and self.tag[self.open[depth - 1]] not in HOLDS_HTML:
+            depth -= 1
+            if self.tag[self.open[depth]] in FOREIGN:
+                top = depth
+        del self.open[top:]
+
     def _leave_head(self) -> None:
         if self.tag[self.open[-1]] == "head":
             self.open.pop()
@@ -146,6 +172,9 @@ class Page:
     def _start(self, name: str, attributes: str) -> None:
         if name not in IN_HEAD:
             self._leave_head()
+        if self.foreign and name in LEAVES:
+            self._leave_foreign()
+        self.foreign = self.foreign or name in FOREIGN
         if name == "br":
             self._chars(" ")
         if name in ("td", "th"):
@@ -239,9 +268,10 @@ class Page:
         """For each element: composite density, sum over its children, characters. Dropped ones count nothing."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        linked = [False] * n
+        linked, formula = [False] * n, [False] * n
         for i in range(1, n):
             linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
+            formula[i] = formula[self.parent[i]] or self.tag[self.parent[i]] == "math"
         for i, _, raw in self.text:
             if not self.drop[i]:
                 size = len(" ".join(raw.split()))
@@ -252,7 +282,7 @@ class Page:
             if not self.drop[i]:
                 p = self.parent[i]
                 chars[p] += chars[i]
-                tags[p] += tags[i] + 1
+                tags[p] += tags[i] + (not formula[i])  # a formula is one tag, however it is marked up
                 link_chars[p] += link_chars[i]
                 link_tags[p] += link_tags[i] + (self.tag[i] == "a")
         share = link_chars[0] / max(1, chars[0])
@@ -272,7 +302,9 @@ def main_text(html: str | None) -> str:
 
     Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
     and reader comments are left out by element name and by class, id and role;
-    a class, id or role never drops what holds the article, nor a heading.
+    a class, id or role never drops what holds the article, nor a heading. Drawings
+    (svg), templates and what browsers show only without scripts or frames go too;
+    formulas, the inside of object and listings stay.
     Of what is left the subtree with the largest sum of densities is sought. If a
     landmark (article, main) holds it or is held by it, the whole landmark is the
     main text; else every element on or beside the path from it to the body whose

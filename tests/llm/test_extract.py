@@ -73,6 +73,19 @@ def test_hints_still_drop():
     assert main_text(page(f"<div><p>{text}</p><p>{text}</p></div><div id=comments>{comment}{comment}</div>")) == f"{text.strip()}\n{text.strip()}"
 
 
+def test_drawings_formulas_and_listings():
+    for drawing in ("<svg viewBox='0 0 1 1'/>", "<svg><g/><svg><text>x</text></svg><text>y</text></svg>", "<svg><style/><title/><script/></svg>", "<svg><g>",
+                    "<svg><foreignObject><p>x</p></foreignObject><text>y</text></svg>", "<math/>", "<template>a<template>b</template>c</template>"):
+        assert main_text(page(f"<article>{drawing}{ARTICLE}</article>")) == WANT, drawing
+    got = main_text(page("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><object data=a><p>In &amp; out</p></object><xmp><b> &amp; </b></xmp>End</article>"))
+    assert got == "So x=1 holds.\nIn & out\n<b> &amp; </b>\nEnd"
+    text = "word " * 60
+    formula = "<math><mrow>" + "<mi>x</mi><mo>+</mo>" * 60 + "</mrow></math>"
+    body = f"<div><p>{text}</p><p>{text}{formula}</p><p>{text}</p></div><div><a href=1>l</a></div>"
+    assert main_text(page(body)) == "\n".join((text.strip(), text + "x+" * 60, text.strip()))
+    assert main_text("<body><article><p>a</p><xmp>b < c") == "a\nb < c"
+
+
 def test_all_pages_of_the_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     sources = {r.page_id: r.html for r in pages.collect()}
