@@ -62,7 +62,7 @@ COMPOUNDS = frozenset(
 TITLES = frozenset("header masthead".split())
 READERS = frozenset("comment comments disqus replies respond".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]{0,65535}+"|'[^']{0,65535}+'|[^'">])*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _CLOSE_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}

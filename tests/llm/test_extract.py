@@ -86,6 +86,13 @@ def test_drawings_formulas_and_listings():
     assert main_text("<body><article><p>a</p><xmp>b < c") == "a\nb < c"
 
 
+def test_attribute_values_of_any_length():
+    for size in (70_000, 3_000_000):
+        for quote, other in ("\"'", "'\""):
+            value = f"<p class={other}ad{other}>not text</p>" * (size // 20)
+            assert main_text(page(f"<article><p data-x={quote}{value}{quote}>a</p><p>b</p></article>")) == "a\nb"
+
+
 def test_all_pages_of_the_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     sources = {r.page_id: r.html for r in pages.collect()}
