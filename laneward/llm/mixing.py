@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laneward.llm.common import WORD
+from laneward.llm.common import WORD, written
 
-#: The values of a dimension without a ceiling of their own, pooled.
+#: The values of a dimension that stay below their ceiling, pooled.
 REST = "*"
 #: Ceilings on the share of all tokens; what they cut goes to the other values.
 CEILINGS: dict[str, dict[str, float]] = {
@@ -18,6 +18,8 @@ CEILINGS: dict[str, dict[str, float]] = {
     "lang": {"en": 0.55},
     "topic": {"table": 0.05, "short": 0.25},
 }
+#: Ceilings of every value of a dimension that CEILINGS does not name, null among them.
+EACH: dict[str, float] = {"source": 0.2, "lang": 0.55}
 ROUNDS = 30
 SEED = 11
 
@@ -28,16 +30,25 @@ def topic(text: Column, n_tokens: Column) -> Column:
     return F.when((n_tokens > 0) & (4 * bars >= n_tokens), "table").when(n_tokens < 300, "short").otherwise("long")
 
 
-def _pool(value: Column, ceilings: Mapping[str, float]) -> Column:
-    return F.when(value.isin(*ceilings), value).otherwise(REST)
+def _key(value: Column) -> Column:
+    """A value as it is named in the raked table, apart from REST: "=" and the value, or "-" for null."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-"))
 
 
-def marginal(held: Mapping[str, float], ceilings: Mapping[str, float]) -> dict[str, float]:
-    """Target share of each value: the share it holds or its ceiling, the lesser; the pool takes the rest."""
+def _pool(key: Column, named: Collection[str]) -> Column:
+    return F.when(key.isin(*named), key).otherwise(REST) if named else F.lit(REST)
+
+
+def marginal(held: Mapping[str, float], ceilings: Mapping[str, float], full: Collection[str] = ()) -> dict[str, float]:
+    """Target share of each value: the share it holds or its ceiling, the lesser; the pool takes the rest.
+
+    The values in full take their ceiling whole.
+    """
     total = sum(held.values())
-    want = {v: min(m / total, ceilings[v]) for v, m in held.items() if v != REST}
+    want = {v: ceilings[v] if v in full else min(m / total, ceilings[v]) for v, m in held.items() if v != REST}
     if REST in held:
-        want[REST] = 1 - sum(want.values())
+        rest = 1 - sum(want.values())
+        want[REST] = rest if rest > 1e-9 else held[REST] / total
     whole = sum(want.values())
     return {v: w / whole for v, w in want.items()}
 
@@ -59,27 +70,82 @@ def rake(
     return dict(zip(keys, (mass / start).tolist()))
 
 
+def _cell_weights(
+    sums: DataFrame, ceilings: Mapping[str, Mapping[str, float]], each: Mapping[str, float], rounds: int
+) -> tuple[dict[str, list[str]], dict[tuple[str, ...], float]]:
+    """Values named in each dimension, and the weight of each combination of them and the pools.
+
+    Values above the ceiling of each value of their dimension, in the tokens kept, are
+    named and take that ceiling whole, until there are none. The named ones hold a
+    ceiling each, so there are about 1 / ceiling of them at most.
+    """
+    dims = list(ceilings)
+    most = {d: {f"={v}": c for v, c in ceilings[d].items()} for d in dims}
+    full: dict[str, set[str]] = {d: set() for d in dims}
+    while True:
+        pooled = [_pool(F.col(d), most[d]).alias(f"_{d}") for d in dims]
+        rows = sums.groupBy(*pooled).agg(F.sum("n").alias("n")).collect()
+        cells = {tuple(r[f"_{d}"] for d in dims): float(r["n"]) for r in rows}
+        targets = []
+        for k, d in enumerate(dims):
+            held: dict[str, float] = {}
+            for key, n in cells.items():
+                held[key[k]] = held.get(key[k], 0.0) + n
+            targets.append(marginal(held, most[d], full[d]))
+        weights = rake(cells, targets, rounds)
+        whole = sum(cells[k] * w for k, w in weights.items())
+        table = _weight_table(sums.sparkSession, dims, weights, "w")
+        weighted = sums.select(*dims, "n", *pooled).join(F.broadcast(table), [f"_{d}" for d in dims])
+        found = {
+            d: [
+                r["v"]
+                for r in weighted.where(F.col(f"_{d}") == REST)
+                .groupBy(F.col(d).alias("v"))
+                .agg(F.sum(F.col("n") * F.col("w")).alias("n"))
+                .where(F.col("n") > F.lit(1.001 * ceiling * whole))
+                .collect()
+            ]
+            for d, ceiling in each.items()
+            if cells and d in dims
+        }
+        for d, values in found.items():
+            most[d].update(dict.fromkeys(values, each[d]))
+            full[d].update(values)
+        if not any(found.values()):
+            return {d: list(most[d]) for d in dims}, weights
+
+
+def _weight_table(spark: SparkSession, dims: list[str], weights: Mapping[tuple[str, ...], float], name: str) -> DataFrame:
+    fields = ", ".join(f"`_{d}` string" for d in dims) + f", {name} double"
+    return spark.createDataFrame([(*k, w) for k, w in weights.items()], fields)
+
+
 def mixed_rows(
     docs: DataFrame,
     ceilings: Mapping[str, Mapping[str, float]] = CEILINGS,
     rounds: int = ROUNDS,
     seed: int = SEED,
+    each: Mapping[str, float] = EACH,
 ) -> DataFrame:
     """row (a struct of all columns of docs), topic, n_tokens, probability and kept, for every row.
 
-    Tokens (words) are added up by source, language and topic, values without a
-    ceiling pooled. Target marginals are the shares held, cut to the ceilings;
-    raking turns the sums into weights, and a document's probability is its cell's
-    weight by the largest, so the expected tokens kept have the target shares and
-    as many stay as one pass over the data allows. Kept is decided by a hash of
-    the id, the same in every run.
-
-    Only sums leave the cluster: at most one for each combination of named values,
-    a bound that the parameters set. A hot source is one partial sum for each task.
-
-    Null source or language: pooled. Null or empty text: no tokens, probability 0.
-    A null id is sampled by its text. Repeated rows share their fate. Very long
-    texts count whole; an empty table gives no rows.
+    Tokens (words) are added up by source, language and topic. ceilings holds the
+    ceilings of single values, each that of every other value of a dimension; values
+    that stay below it are pooled. Target marginals are the shares held, cut to the
+    ceilings; raking turns the sums into weights, and a document's probability is
+    its cell's weight by the largest, so the expected tokens kept have the target
+    shares and as many stay as one pass over the data allows. Kept is decided by a
+    hash of the id, the same in every run. Where a dimension has too few values for
+    its ceiling, they get equal parts of what the others leave.
+
+    The sums by all values are written to the shared folder. Only sums of named
+    values leave the cluster: at most one for each combination of values with a
+    ceiling of their own and of those above the ceiling of each. A hot source is one
+    partial sum for each task.
+
+    Null source or language: a value like the others. Null or empty text: no tokens,
+    probability 0. A null id is sampled by its text. Repeated rows share their fate.
+    Very long texts count whole; an empty table gives no rows.
     """
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -87,22 +153,14 @@ def mixed_rows(
     rows = rows.withColumn("topic", topic(text, F.col("n_tokens")))
     values = {"source": F.col("row.source"), "lang": F.col("row.lang"), "topic": F.col("topic")}
     dims = list(ceilings)
-    rows = rows.select("row", "n_tokens", "topic", *(_pool(values[d], ceilings[d]).alias(f"_{d}") for d in dims))
+    sums = rows.where("n_tokens > 0").groupBy(*(_key(values[d]).alias(d) for d in dims)).agg(F.sum("n_tokens").alias("n"))
+    named, weights = _cell_weights(written(sums, "mixing-sums"), ceilings, each, rounds)
     names = [f"_{d}" for d in dims]
-    sums = rows.where("n_tokens > 0").groupBy(*names).agg(F.sum("n_tokens").alias("n")).collect()
-    cells = {tuple(r[n] for n in names): float(r["n"]) for r in sums}
-    targets = []
-    for k, d in enumerate(dims):
-        held: dict[str, float] = {}
-        for key, n in cells.items():
-            held[key[k]] = held.get(key[k], 0.0) + n
-        targets.append(marginal(held, ceilings[d]))
-    weights = rake(cells, targets, rounds)
+    rows = rows.select("row", "n_tokens", "topic", *(_pool(_key(values[d]), named[d]).alias(f"_{d}") for d in dims))
     top = max(weights.values(), default=0.0) or 1.0
-    fields = ", ".join(f"{n} string" for n in names) + ", probability double"
-    table = docs.sparkSession.createDataFrame([(*k, w / top) for k, w in weights.items()], fields)
-    named = F.coalesce(F.col("row.doc_id").cast("string"), F.md5(text.cast("binary")))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    table = _weight_table(docs.sparkSession, dims, {k: w / top for k, w in weights.items()}, "probability")
+    drawn_by = F.coalesce(F.col("row.doc_id").cast("string"), F.md5(text.cast("binary")))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), drawn_by)), 1, 8), 16, 10).cast("double") / float(1 << 32)
     p = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))
     return rows.join(F.broadcast(table), names, "left").select(
         "row", "topic", "n_tokens", p.alias("probability"), (draw < p).alias("kept")

@@ -43,3 +43,23 @@ def test_rows(spark):
     assert len({(r.doc_id, r.kept) for r in got}) == 4
     assert sampled(docs).columns == docs.columns
     assert mixture(docs.limit(0)).count() == 0
+
+
+def test_any_hot_value_is_cut(spark):
+    hot = [("big", "xx")] * 60 + [(None, "yy")] * 30 + [("*", "zz")] * 30 + [(f"s{i % 40}", f"l{i % 8}") for i in range(80)]
+    rows = [(i, "a b c " * (1 + i % 3) * (150 if i % 5 else 1), lang, source) for i, (source, lang) in enumerate(hot)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixture(docs).toPandas().fillna({"source": "null"})
+    got["expected"] = got.probability * got.n_tokens
+    for column, ceiling in (("source", 0.2), ("lang", 0.55)):
+        shares = got.groupby(column).expected.sum() / got.expected.sum()
+        assert shares.max() < ceiling * 1.002 and (shares > 0).all(), shares
+    assert len(got) == 200 and (got.groupby("source").expected.sum() / got.expected.sum())["big"] > 0.199
+
+
+def test_hot_language_and_few_sources(spark):
+    rows = [(i, "w " * 400, "de" if i % 10 else "fr", "x" if i % 4 else "y") for i in range(80)]
+    got = mixture(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    got["expected"] = got.probability * got.n_tokens
+    assert np.isclose(got.expected[got.lang == "de"].sum() / got.expected.sum(), 0.55, atol=1e-3)
+    assert np.isclose(got.expected[got.source == "x"].sum() / got.expected.sum(), 0.5, atol=1e-3)
