@@ -96,9 +96,11 @@ def pack(
     One row for each piece: doc_id, start (tokens of its document before it),
     length, doc_tokens (with the end token), sequence_id, offset (in the
     sequence, gapless from 0) and ids (little-endian unsigned 32-bit integers).
-    Documents are dealt by a hash of their id into groups of about group_docs,
-    each packed alone, so the only shuffle moves each text once and a task holds
-    one group. Tokens are made after the shuffle, once.
+    Documents are dealt by a hash of their row number into groups of about
+    group_docs, whatever their ids and texts are; each is packed alone, so the only
+    shuffle moves each text once and a task holds one group. Rows are numbered in
+    the order of id and text within their input partition, so that a task that runs
+    again deals them the same way. Tokens are made after the shuffle, once.
 
     Null or empty text: one token, the end. Very long texts: full sequences
     and a rest. Rows that repeat an id are packed each. A null id is kept as
@@ -106,11 +108,13 @@ def pack(
     """
     vocabulary = vocabulary or default_vocabulary()
     groups = max(1, -(-docs.count() // group_docs))
-    dealt = docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).alias("group"),
-    )
+        F.xxhash64("text").alias("tie"),
+    ).sortWithinPartitions("doc_id", "tie")
+    row = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
+    dealt = rows.select("doc_id", "text", F.pmod(row, F.lit(groups)).alias("group"))
 
     def packed(table: pa.Table) -> pa.Table:
         encode = encoder(vocabulary).encode

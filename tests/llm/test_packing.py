@@ -83,6 +83,17 @@ def test_little_padding(spark, sf_dir):
     assert sum(4096 - n for n in held) < 0.03 * sum(held) + 4096
 
 
+def test_groups_are_bounded_whatever_the_ids_are(spark):
+    null, same = spark.range(1200).selectExpr("CAST(NULL AS long) AS doc_id", "'a b' AS text"), spark.range(900).selectExpr("7 AS doc_id", "'c' AS text")
+    other = spark.range(900).selectExpr("id + 10 AS doc_id", "CAST(NULL AS string) AS text")
+    out = pack(null.union(same).union(other), group_docs=100).collect()
+    held = {}
+    for r in out:
+        held[r.sequence_id >> 32] = held.get(r.sequence_id >> 32, 0) + (r.start == 0)
+    assert sum(held.values()) == 3000 and len(held) == 30 and max(held.values()) < 200
+    assert sum(r.doc_id is None for r in out if r.start == 0) == 1200 and sum(r.doc_id == 7 for r in out if r.start == 0) == 900
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
