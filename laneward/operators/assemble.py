@@ -71,7 +71,8 @@ def attach_pressure(requests: DataFrame, periods: DataFrame, created: str = "cre
     """Add ``global_risk`` of the newest period started at or before each request.
 
     A calendar of periods is short and becomes an ordered literal, looked up
-    per row; a table of more than PERIOD_LIMIT periods takes the as-of path.
+    per row; a table of more than PERIOD_LIMIT periods takes the as-of path, which
+    carries the whole request rows. Both give each row once, whatever its id is.
     """
     newest = periods.groupBy(F.col("start").cast("timestamp").alias("start")).agg(
         F.max("global_risk").alias("global_risk")
@@ -79,20 +80,21 @@ def attach_pressure(requests: DataFrame, periods: DataFrame, created: str = "cre
     at = F.col(created).cast("timestamp")
     rows = small_rows(newest, PERIOD_LIMIT)
     if rows is None:
-        timeline = requests.select(
-            at.alias("_at"), F.lit(1).alias("_side"), "request_id", F.lit(None).cast("double").alias("global_risk")
+        whole = requests.select(F.struct(*(F.col(f"`{c}`") for c in requests.columns)).alias("_row"), at.alias("_at"))
+        tie = F.col("_row.request_id") if "request_id" in requests.columns else F.lit(None)
+        timeline = whole.select(
+            "_at", F.lit(1).alias("_side"), tie.alias("_tie"), "_row", F.lit(None).cast("double").alias("_risk")
         ).unionByName(
             newest.where("start IS NOT NULL").select(
                 F.col("start").alias("_at"),
                 F.lit(0).alias("_side"),
-                F.lit(None).alias("request_id"),
-                F.col("global_risk").cast("double"),
+                F.lit(None).alias("_tie"),
+                F.lit(None).cast(whole.schema["_row"].dataType).alias("_row"),
+                F.col("global_risk").cast("double").alias("_risk"),
             )
         )
-        found = last_known(timeline, [], ["_at", "_side", "request_id"], "global_risk")
-        return requests.join(
-            found.where("_side = 1").select("request_id", "global_risk"), "request_id", "left"
-        )
+        found = last_known(timeline, [], ["_at", "_side", "_tie"], "_risk").where("_side = 1")
+        return found.select("_row.*", "_risk").withColumn("global_risk", F.col("_risk")).drop("_risk")
     rows = [r for r in rows if r["start"] is not None and r["global_risk"] is not None]
     if not rows:
         return requests.withColumn("global_risk", F.lit(None).cast("double"))

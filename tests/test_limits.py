@@ -53,6 +53,18 @@ def test_long_and_short_tables_agree(spark, monkeypatch):
     assert all_results() == short
 
 
+def test_pressure_of_repeated_and_null_ids(spark, monkeypatch):
+    rows = [(1, at(days=3), 9.0), (1, at(days=3), 9.0), (1, at(days=1), 9.0), (None, at(days=5), 9.0), (None, None, 9.0), (2, at(days=-1), 9.0)]
+    asked = spark.createDataFrame(rows, "request_id int, created_at timestamp, global_risk double")
+    periods = spark.createDataFrame([(T, 0.25), (at(days=2), 0.5), (at(days=4), None)], "start timestamp, global_risk double")
+    want = [(1, 0.25), (1, 0.5), (1, 0.5), (2, None), (None, 0.5), (None, None)]
+    for limit in (4096, 3, 2, 0):
+        monkeypatch.setattr(assemble, "PERIOD_LIMIT", limit)
+        got = assemble.attach_pressure(asked, periods)
+        assert got.columns == asked.columns
+        assert sorted(map(str, ((r.request_id, r.global_risk) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_a_calendar_without_values(spark):
     periods = spark.createDataFrame([(T, None)], "start timestamp, global_risk double")
     asked = spark.createDataFrame([(1, at(days=1))], "request_id int, created_at timestamp")
