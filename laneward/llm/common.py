@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laneward.session import shared_folder
@@ -39,6 +39,29 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows with their number, 0, 1, 2, ..., in the order of some columns, nulls first.
+
+    Rows are dealt by range (one shuffle) and written once; a key that holds many
+    rows is split by the later columns and, between equal rows, by the place of
+    the row in its input. What is broadcast is one row for each task.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    placed = rows.repartitionByRange(*keys, "_row").sortWithinPartitions(*keys, "_row").drop("_row")
+    placed = written(placed.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftrightunsigned("_place", 33)  # the task's number; the lower 33 bits count its rows
+    held = placed.groupBy(part.alias("_part")).count()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = held.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    return (
+        placed.withColumn("_part", part)
+        .join(F.broadcast(firsts), "_part")
+        .withColumn(name, F.col("_first") + F.col("_place").bitwiseAND((1 << 33) - 1))
+        .drop("_part", "_place", "_first")
+    )
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once for each row however often body names it."""
     return F.transform(F.array(value), body)[0]
@@ -55,6 +78,12 @@ def byte_column(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
         yield value.as_py()
 
 
+def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """A list column from its values end to end and the length of each list."""
+    ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     h = h ^ (h >> np.uint64(30))

@@ -17,6 +17,9 @@ from laneward.llm.packing import pack
 from laneward.llm.polytope import nearest
 from laneward.llm.prefix_join import similar_groups
 from laneward.llm.quality import quality
+from laneward.llm.repair import damaged, repair, repaired_hashes
+from laneward.llm.replies import conversation_chains, digests, formatted
+from laneward.llm.search import search
 from laneward.llm.substring import without_repeats
 from laneward.llm.trie_counts import token_counts
 
@@ -100,3 +103,31 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.GROUPS)
 def op10_gram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query(sql.REPAIR)
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    report, rows = repair(damaged(conversations))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    whole = conversations.select("conv_id")
+    for part in (report, repaired_hashes(rows)):
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole.groupBy("conv_id").agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts],
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query(sql.CHAT)
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return digests(formatted(*conversation_chains(conversations)))
+
+
+@query(sql.SEARCH)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
