@@ -100,31 +100,34 @@ def ancestry(nodes: DataFrame, sums: list[str]) -> tuple[DataFrame, list[DataFra
     Each round joins the nodes with themselves: who knows its ancestor at distance
     2**j learns that of distance 2**(j + 1) and adds up what lies between, so rounds
     grow with the logarithm of the depth. Also returns, for each round, the
-    ancestors known before it (node, far). Nodes whose ancestors go round in a ring
-    have no root; their links are cut and each becomes a root.
+    ancestors known before it (node, far); the first are the links. Where ancestors
+    go round in a ring, the link of its least node is cut, which makes it a root.
     """
-    names = ["depth", *sums]
+    names, own = ["depth", *sums], F.col("node")
     state = written(
-        nodes.select("node", F.col("parent").alias("far"), F.col("node").alias("root"), F.lit(1).cast("long").alias("depth"), *sums),
+        nodes.select("node", F.col("parent").alias("far"), own.alias("root"), own.alias("least"), F.lit(1).cast("long").alias("depth"), *sums),
         "ancestry",
     )
     n, levels = state.count(), []
     while not state.where("far IS NOT NULL").isEmpty():
         if 1 << len(levels) > n:
-            ring = state.where("far IS NOT NULL").select("node", F.lit(True).alias("ring"))
-            cut = nodes.join(ring, "node", "left").withColumn("parent", F.when(F.col("ring").isNull(), F.col("parent")))
-            return ancestry(cut.drop("ring"), sums)
+            # more steps than there are nodes end on the rings, and on every node of them
+            on_ring = state.select(F.col("far").alias("node")).where("node IS NOT NULL").distinct()
+            least = state.where("least = node").join(on_ring, "node").select("node", F.lit(True).alias("cut"))
+            kept = nodes.join(least, "node", "left").withColumn("parent", F.when(F.col("cut").isNull(), F.col("parent")))
+            return ancestry(kept.drop("cut"), sums)
         waiting = state.where("far IS NOT NULL")
         levels.append(waiting.select("node", "far"))
         up = state.select(
-            F.col("node").alias("far"), F.col("far").alias("_far"), F.col("root").alias("_root"),
+            F.col("node").alias("far"), F.col("far").alias("_far"), F.col("root").alias("_root"), F.col("least").alias("_least"),
             *[F.col(c).alias(f"_{c}") for c in names],
         )
         stepped = waiting.join(up, "far").select(
-            "node", F.col("_far").alias("far"), F.col("_root").alias("root"), *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in names]
-        )
+            "node", F.col("_far").alias("far"), F.col("_root").alias("root"), F.least("least", "_least").alias("least"),
+            *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in names],
+        )
         state = written(state.where("far IS NULL").unionByName(stepped), "ancestry")
-    return state.drop("far"), levels
+    return state.drop("far", "least"), levels
 
 
 def formatted(messages: DataFrame, links: DataFrame, keep: int = 1) -> DataFrame:
@@ -153,9 +156,11 @@ def formatted(messages: DataFrame, links: DataFrame, keep: int = 1) -> DataFrame
     scored = links.select("node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     tree = written(scored.join(sizes, "node"), "tree")
     state, levels = ancestry(tree, ["score", "chars", "bytes"])
-    parents = tree.select(F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
     order = Window.partitionBy("root").orderBy(F.desc("score"), "node")
-    leaves = state.join(parents, "node", "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    leaves = state
+    if levels:
+        leaves = state.join(levels[0].select(F.col("far").alias("node")).distinct(), "node", "left_anti")
+    leaves = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     path = leaves.select(F.col("node").alias("leaf"), "rank", F.col("score").alias("total"), "node")
     for level in reversed(levels):
         path = path.join(level, "node", "left").select(
