@@ -41,9 +41,9 @@ def write_ids(
     )
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, start = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
+        encode_all, part, start = encoder(vocabulary).encode_all, TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [np.append(encode(text), np.uint32(end_id)) for text in byte_column(batch, "text")]
+            ids = [np.append(x, np.uint32(end_id)) for x in encode_all(list(byte_column(batch, "text")))]
             counts = np.array([len(x) for x in ids], np.int64)
             ends = np.cumsum(counts)
             flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)

@@ -117,12 +117,12 @@ def pack(
     dealt = rows.select("doc_id", "text", F.pmod(row, F.lit(groups)).alias("group"))
 
     def packed(table: pa.Table) -> pa.Table:
-        encode = encoder(vocabulary).encode
+        encode_all = encoder(vocabulary).encode_all
         group = table.column("group")[0].as_py()
         doc_ids, ids = [], []
         for batch in table.to_batches():
             doc_ids += batch.column("doc_id").to_pylist()
-            ids += [np.append(encode(text), np.uint32(end_id)) for text in byte_column(batch, "text")]
+            ids += [np.append(x, np.uint32(end_id)) for x in encode_all(list(byte_column(batch, "text")))]
         rows = [
             (doc, start, length, (group << 32) + k, offset)
             for k, sequence in enumerate(plan([len(x) for x in ids], capacity))

@@ -1,17 +1,32 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word encoded once per worker."""
+"""Token ids of whole texts as the tokenizers library gives them, each distinct word encoded once for a worker."""
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
 import numpy as np
+import regex
 
-#: Words kept by a worker before it starts afresh; about 200 bytes each.
-MEMO_WORDS = 1_000_000
+#: Words a worker keeps in one generation of its memo; about 200 bytes each, two generations at most.
+MEMO_WORDS = 600_000
 #: A control character that becomes one token of its own and parts the words of one call.
 _PART = b"\x7f"
 _CALL_WORDS = 2000
+#: Texts that are encoded together: about so many bytes.
+_CALL_BYTES = 1 << 20
+
+# The rules under which a text's ids are those of its words. Other vocabularies take whole texts.
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+_WORD_END = "</w>"
+#: Latin characters: composed as they stand and lower-cased one by one.
+_LATIN = 0x250
 
 
 def default_vocabulary() -> str:
@@ -20,80 +35,187 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Encodes texts with a vocabulary that drops white space and never merges across it.
+def _byte_letters() -> dict[int, str]:
+    """What stands for each byte in byte-level vocabularies: itself if printable, else a letter from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others) if b != 10}
 
-    The ids of a text are then the ids of its words one after another, so words
-    are encoded once and looked up from then on. Holds for word_bpe_49k.json:
-    its normaliser works on single characters and their combining marks.
-    """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _by_words(settings: dict) -> bool:
+    """Whether a vocabulary drops white space, cuts by _PIECE and marks the end of each piece."""
+    pre, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    steps = pre.get("pretokenizers") or [{}]
+    return (
+        (settings.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and len(steps) == 2
+        and steps[0].get("pattern") == {"Regex": _PIECE}
+        and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+        and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False)
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == _WORD_END
+        and not any(model.get(k) for k in ("continuing_subword_prefix", "unk_token", "dropout"))
+        and settings.get("post_processor") is None
+        and not any(set(t["content"]) & set(" \t\n\x0b\f\r") or t["lstrip"] or t["rstrip"] for t in settings["added_tokens"])
+    )
 
-        self.tokenizer = Tokenizer.from_file(path)
-        (self.part,) = self._ids(_PART.decode())
-        self._forget()
 
-    def _forget(self) -> None:
+class _Memo:
+    """Ids of words, end to end."""
+
+    def __init__(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.start = np.empty(1 << 14, np.int64)
         self.count = np.empty(1 << 14, np.int64)
 
+    def store(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, m = len(self.place), len(words)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + m > len(self.start):
+            self.start = np.concatenate([self.start, np.empty_like(self.start)])
+            self.count = np.concatenate([self.count, np.empty_like(self.count)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + m] = self.used + np.cumsum(counts) - counts
+        self.count[n : n + m] = counts
+        self.place.update(zip(words, range(n, n + m)))
+        self.used += len(ids)
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places, end to end, and how many each has."""
+        counts = self.count[at]
+        ends = np.cumsum(counts)
+        pick = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + counts, counts)
+        return self.flat[pick], counts
+
+
+class WordEncoder:
+    """Encodes texts; with a vocabulary that never merges across white space, word by word.
+
+    A new word of Latin letters, digits and signs is lower-cased and cut into pieces
+    here; only pieces not seen before pass the library's byte pair encoding. Other
+    words pass the library whole. When a generation of the memo is full, a new one
+    starts; words in use move to it, the rest are forgotten with the one before.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.by_words = _by_words(settings)
+        if not self.by_words:
+            return
+        (self.part,) = self._ids(_PART.decode())
+        self.pairs = Tokenizer.from_file(path)
+        self.pairs.normalizer = None
+        self.pairs.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        letters = _byte_letters()
+        self.letters = "".join(letters.get(b, chr(b)) for b in range(256))
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
+        self.cut = regex.compile(_PIECE.replace(r"\s", r"\p{White_Space}") + r"|\n").findall
+        others = "|".join(regex.escape(t["content"]) for t in settings["added_tokens"])
+        self.hard = regex.compile(rf"[^\x00-\x7e\x80-\u{_LATIN - 1:04x}]" + (f"|{others}" if others else "")).search
+        self.pieces, self.words, self.old = _Memo(), _Memo(), _Memo()
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn_pieces(self, new: list[str]) -> None:
+        for i in range(0, len(new), _CALL_WORDS):
+            some = new[i : i + _CALL_WORDS]
+            text = "\n".join(some).encode().decode("latin-1").translate(self.letters)
+            ids = np.asarray(self.pairs.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary does not mark the end of each piece")
+            self.pieces.store(some, ids, np.diff(ends, prepend=0))
+
+    def _learn_easy(self, words: list[bytes], texts: list[str]) -> None:
+        cut = self.cut("\n".join(texts).lower())
+        if len(self.pieces.place) > MEMO_WORDS:
+            self.pieces = _Memo()
+        new = set(cut).difference(self.pieces.place)
+        new.discard("\n")
+        self._learn_pieces(list(new))
+        get = self.pieces.place.get
+        at = np.fromiter((get(p, -1) for p in cut), np.int64, len(cut))  # -1: the end of a word
+        inside = at >= 0
+        ids, counts = self.pieces.ids(at[inside])
+        ends = np.append(0, np.cumsum(counts))
+        last = np.append(np.flatnonzero(~inside), len(cut)) - np.arange(len(words))  # pieces up to the end of each word
+        self.words.store(words, ids, np.diff(ends[last], prepend=0))
+
+    def _learn_hard(self, words: list[bytes]) -> None:
         plain = [w for w in words if _PART not in w]
         glue = b" " + _PART + b" "
         for i in range(0, len(plain), _CALL_WORDS):
             some = plain[i : i + _CALL_WORDS]
             ids = np.asarray(self._ids(glue.join(some).decode("utf-8", "replace")), np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.part), len(ids))
-            starts = np.append(0, ends[:-1] + 1)
-            self._store(some, ids, starts, ends - starts)
+            parts = ids == self.part
+            if parts.sum() != len(some) - 1:
+                raise ValueError("the vocabulary does not keep words apart")
+            counts = np.diff(np.append(np.flatnonzero(parts), len(ids)), prepend=-1) - 1
+            self.words.store(some, ids[~parts], counts)
         for word in words:
             if _PART in word:
                 ids = np.asarray(self._ids(word.decode("utf-8", "replace")), np.uint32)
-                self._store([word], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+                self.words.store([word], ids, np.array([len(ids)]))
 
-    def _store(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
-        if len(starts) != len(words):
-            raise ValueError("the vocabulary does not keep words apart")
-        n, m = len(self.place), len(words)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + m > len(self.start):
-            self.start = np.concatenate([self.start, np.empty_like(self.start)])
-            self.count = np.concatenate([self.count, np.empty_like(self.count)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[n : n + m] = starts + self.used
-        self.count[n : n + m] = counts
-        self.place.update(zip(words, range(n, n + m)))
-        self.used += len(ids)
+    def _learn(self, words: list[bytes]) -> None:
+        held = self.old.place
+        kept = [w for w in words if w in held] if held else []
+        if kept:
+            self.words.store(kept, *self.old.ids(np.asarray([held[w] for w in kept], np.int64)))
+            words = [w for w in words if w not in held]
+        for i in range(0, len(words), _CALL_WORDS):
+            some = words[i : i + _CALL_WORDS]
+            texts = b"\n".join(some).decode("utf-8", "replace").split("\n")
+            if self.hard("".join(texts)):
+                hard = [self.hard(t) is not None for t in texts]
+                self._learn_hard([w for w, h in zip(some, hard) if h])
+                texts = [t for t, h in zip(texts, hard) if not h]
+                some = [w for w, h in zip(some, hard) if not h]
+            if some:
+                self._learn_easy(some, texts)
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """The ids of a UTF-8 text, as unsigned 32-bit; none for null."""
-        words = [] if text is None else text.split()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The ids of each of some texts."""
+        if not self.by_words:
+            return [np.asarray([] if t is None else self._ids(t.decode("utf-8", "replace")), np.uint32) for t in texts]
+        out, waiting, size = [], [], 0
+        for text in texts:
+            waiting.append(b"" if text is None else text)
+            size += len(waiting[-1])
+            if size > _CALL_BYTES:
+                out += self._encode_some(waiting)
+                waiting, size = [], 0
+        return out + self._encode_some(waiting)
+
+    def _encode_some(self, texts: list[bytes]) -> list[np.ndarray]:
+        parts = [t.split() for t in texts]
+        words = [w for p in parts for w in p]
         if not words:
-            return np.empty(0, np.uint32)
-        place = self.place
-        try:
-            at = [place[w] for w in words]
-        except KeyError:
-            if len(place) > MEMO_WORDS:
-                self._forget()
-                place = self.place
-            self._learn(list(dict.fromkeys(w for w in words if w not in place)))
-            at = [place[w] for w in words]
-        at = np.asarray(at, np.int64)
-        counts = self.count[at]
-        ends = np.cumsum(counts)
-        pick = np.arange(ends[-1]) + np.repeat(self.start[at] - ends + counts, counts)
-        return self.flat[pick]
+            return [np.empty(0, np.uint32) for _ in texts]
+        if len(self.words.place) > MEMO_WORDS:
+            self.words, self.old = _Memo(), self.words
+        place = self.words.place
+        new = set(words).difference(place)
+        if new:
+            self._learn(list(new))
+        ids, counts = self.words.ids(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
+        ends = np.append(0, np.cumsum(counts))[np.cumsum([len(p) for p in parts])]
+        return np.split(ids, ends[:-1])
 
 
 @lru_cache(maxsize=1)
