@@ -1,7 +1,9 @@
+import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
 from laneward.llm.common import IdFilter, let, sliding_min, window_hashes, word_hashes
+from laneward.llm import components as module
 from laneward.llm.components import components
 
 
@@ -60,3 +62,16 @@ def test_components_against_union_find(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(up)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_ordered_chains_take_logarithmic_rounds(spark, monkeypatch, down):
+    rounds, moves = [], module._moves
+    monkeypatch.setattr(module, "_moves", lambda left, turn: rounds.append(turn) or moves(left, turn))
+    n = 10_000
+    chain = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + (-1 if down else 1)).alias("b"))
+    star = spark.range(50_000, 60_000).select(F.col("id").alias("a"), F.lit(70_000).alias("b"))
+    out = components(chain.unionByName(star))
+    want = {(-1 if down else 0, n + 1), (50_000, 10_001)}
+    assert {(r.component, r["count"]) for r in out.groupBy("component").count().collect()} == want
+    assert len(rounds) <= 14
