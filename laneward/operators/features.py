@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laneward.operators.ordered import last_known, running_sums
+from laneward.session import cut_lineage
 
 NEWS_DAYS = 7
 TONE_DAYS = 3
@@ -88,7 +89,8 @@ def news_features(
             *[F.lit(0).cast("long").alias(c) for c in counts],
         )
     )
-    totals = running_sums(timeline, ["lane"], ["at", "side", "request_id"], counts, buckets)
+    # read for the bounds, the summaries and the rows; the windows over mentions run once
+    totals = running_sums(cut_lineage(timeline), ["lane"], ["at", "side", "request_id"], counts, buckets)
     return totals.where("side = 1").select(
         "request_id",
         F.col("n").cast("int").alias("news_vol_7d"),

@@ -94,7 +94,7 @@ def normalize_running(
     from. Null values are neither counted nor scored.
     """
     scope = list(scope)
-    rows = ordered_buckets(raw, [*scope, *order], buckets)
+    rows, buckets = ordered_buckets(raw, [*scope, *order], buckets)
     totals = stats_long(rows, [BUCKET, *scope], features)
     if state is not None:
         totals = totals.unionByName(state.withColumn(BUCKET, F.lit(-1)))

@@ -15,6 +15,7 @@ from laneward.operators.scoring import (
     risk_score,
     with_factors,
 )
+from laneward.session import cut_lineage
 from laneward.sources.requests import report_rows
 
 
@@ -35,7 +36,8 @@ def analyze(
     specs = feature_specs(weights)
     if pressure is not None:
         requests = attach_pressure(requests, pressure)
-    raw = assemble_raw(requests, feature_tables, specs)
+    # read for the bounds, the summaries and the rows; the joins run once
+    raw = cut_lineage(assemble_raw(requests, feature_tables, specs))
     norm = normalize_running(raw, [s.feature for s in specs], REQUEST_ORDER, state=state, buckets=buckets)
     return with_factors(risk_score(norm, specs), specs)
 

@@ -41,6 +41,7 @@ from laneward.operators.scoring import (
 from laneward.operators.stats import feature_stats as stats, merge_stats as merged, stats_long
 from laneward.plans import analyze as analysis
 from laneward.plans import warehouse as wh
+from laneward.session import cut_lineage
 from laneward.plans.registry import query, r6
 from laneward.session import shared_folder
 from laneward.sources.requests import write_reports
@@ -412,7 +413,7 @@ NORM_SHOWN = f"SELECT request_id, {', '.join(f'round({f}, 6) AS {f}' for f in NA
 
 @query(f"WITH {INPUTS}, {NORM} {NORM_SHOWN}")
 def normalize_requests(spark: SparkSession, sf: str) -> DataFrame:
-    norm = normalize_running(_raw(spark, sf), NAMES)
+    norm = normalize_running(cut_lineage(_raw(spark, sf)), NAMES)
     return norm.select("request_id", *[r6(f).alias(f) for f in NAMES])
 
 

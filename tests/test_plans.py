@@ -67,3 +67,21 @@ def test_assembly_shares_one_partitioning(spark, sf_dir):
 
 def test_top_links_are_limited_in_the_map_tasks(spark, sf_dir):
     assert "WindowGroupLimit" in plan(queries()["top_links_per_request"](spark, sf_dir))
+
+
+def test_ordered_rows_are_shuffled_once_and_never_written(spark, monkeypatch):
+    """The running normaliser: one exchange of the rows, no checkpoint, buckets by the number of rows."""
+    from laneward.operators import ordered
+    from laneward.operators.normalize import normalize_running
+
+    raw = spark.range(40_000).selectExpr("id AS request_id", "timestamp_micros(id * 1000003 % 99991) AS created_at", "id % 7.0 AS x")
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 3_000)
+    placed, n = ordered.ordered_buckets(raw, ["created_at", "request_id"])
+    assert n == 14
+    sizes = {r[ordered.BUCKET]: r["count"] for r in placed.groupBy(ordered.BUCKET).count().collect()}
+    assert sorted(sizes) == list(range(14)) and max(sizes.values()) < 2 * 40_000 / 14
+    ends = placed.groupBy(ordered.BUCKET).agg({"created_at": "min"}).orderBy(ordered.BUCKET).collect()
+    assert [r[1] for r in ends] == sorted(r[1] for r in ends)
+    text = plan(normalize_running(raw, ["x"]))
+    assert "ExistingRDD" not in text and text.count("repartition_by_id") + text.count("REPARTITION_BY_ID") + text.count("shufflepartitionid") <= 2
+    assert text.count("SortMergeJoin") == 0
