@@ -79,7 +79,9 @@ def geocode_lookup(df: DataFrame, addr_col: str, gazetteer: DataFrame | None = N
         found = small_rows(gazetteer.select("priority", "key", "lat", "lon"))
         if found is None:
             return _geocode_by_substring(df, addr_col, gazetteer)
-        rows = [tuple(r)[1:] for r in sorted(found) if r["key"] is not None]
+        kept = [r for r in found if r["key"] is not None]
+        # as Spark sorts: nulls first, column by column
+        rows = [tuple(r)[1:] for r in sorted(kept, key=lambda r: [(v is not None, v if v is not None else 0) for v in r])]
     if not rows:
         empty = F.lit(None)
         return df.withColumns(

@@ -68,9 +68,9 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     Words found in more than HOT_TERM documents are split by document.
     """
     required, any_of = query_terms(F.col("query"))
-    wanted = queries.select("query").distinct().select(
-        "query", required.alias("required"), any_of.alias("any_of")
-    )
+    # long queries are carried as numbers and named again at the end
+    named = cut_lineage(queries.select("query").distinct().withColumn("number", F.monotonically_increasing_id()))
+    wanted = named.select(F.col("number").alias("query"), required.alias("required"), any_of.alias("any_of"))
     no_required = F.size("required") == 0
     lookups = wanted.select(
         "query",
@@ -89,13 +89,13 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
     rarest = (
         known.where("not by_any")
-        .groupBy("query", "required", "any_of")
+        .groupBy("query")
         .agg(
             F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"),
             F.min(F.coalesce("df", F.lit(0))).alias("df"),
         )
     )
-    either = known.where("by_any").select("query", "required", "any_of", "term", F.coalesce("df", F.lit(0)).alias("df"))
+    either = known.where("by_any").select("query", "term", F.coalesce("df", F.lit(0)).alias("df"))
     chosen = rarest.unionByName(either).where("df > 0")
 
     copies = F.ceil(F.col("df") / HOT_TERM).cast("int")
@@ -106,15 +106,18 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
         .where("copies IS NOT NULL")
         .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
     )
-    candidates = probes.join(placed.select("term", "salt", "doc_id"), ["term", "salt"]).select(
-        "query", "required", "any_of", "doc_id"
-    )
+    candidates = probes.join(placed.select("term", "salt", "doc_id"), ["term", "salt"]).select("query", "doc_id")
+    # a document with one of its alternatives answers a query that requires nothing; several may lead to it
+    free = wanted.where(F.size("required") == 0).select("query")
+    answered = candidates.join(free, "query", "left_semi").distinct()
+    strict = wanted.where(F.size("required") > 0)
     holds = (F.size(F.array_except("required", "doc_terms")) == 0) & (
         (F.size("any_of") == 0) | F.arrays_overlap("any_of", "doc_terms")
     )
     present = postings.groupBy("doc_id").agg(F.collect_set("term").alias("doc_terms"))
-    # a query without required words may reach a document by several alternatives
-    return candidates.join(present, "doc_id").where(holds).select("query", "doc_id").distinct()
+    checked = candidates.join(strict, "query").join(present, "doc_id").where(holds).select("query", "doc_id").distinct()
+    found = answered.unionByName(checked).withColumnRenamed("query", "number")
+    return found.join(named, "number").select("query", "doc_id")
 
 
 def requests_of_matches(queries: DataFrame, matches: DataFrame) -> DataFrame:
