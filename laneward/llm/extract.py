@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -47,24 +48,27 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Words in class, id or role that mark menus, notices, adverts and reader comments. A token is a
 #: hint if it is one of them or is made of them and words of PLACES before or PARTS after them.
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
+    "ad ads advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination "
     "paywall popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored "
-    "subscribe toolbar widget".split()
+    "subscribe toolbar usercomment usercomments widget".split()
 )
 PLACES = frozenset("bottom desktop footer global left main mobile primary right secondary site sticky sub top".split())
-PARTS = frozenset("area bar block box button buttons container form inner item items links list panel slot unit wrap wrapper".split())
+PARTS = frozenset("area bar block box button buttons container danger form info inner item items links list panel slot success unit warning wrap wrapper".split())
 COMPOUNDS = frozenset(
     "article-comments comment-author comment-body comment-content comment-meta comment-text comments-section "
     "entry-comments post-comments post-navigation posts-navigation reader-comments related-articles related-content "
     "related-news related-posts related-stories user-comments widget-title".split()
 )
+#: What belongs to an article also where it stands beside it.
+BESIDE = frozenset("h1 h2 hgroup p".split())
 TITLES = frozenset("header masthead".split())
-READERS = frozenset("comment comments disqus replies respond".split())
+READERS = frozenset("comment comments disqus replies respond usercomment usercomments".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_MAY_HIDE = re.compile("hidden|display", re.I)
 _CLOSE_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
@@ -85,6 +89,15 @@ def _hints(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether browsers do not show an element, by its own attributes."""
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key = key.lower()
+        if key == "hidden" or key == "style" and re.search(r"(?:^|;)\s*display\s*:\s*none", value.strip("\"'").lower()):
+            return True
+    return False
+
+
 class Page:
     """A page's elements in document order, with what density needs of each.
 
@@ -98,6 +111,8 @@ class Page:
         self.text: list[tuple[int, int, str]] = []
         self.block = 0
         self.open = [0]
+        self.held: Counter[str] = Counter()  # open elements by name
+        self.inside, self.in_foreign = [False], [False]  # a landmark; svg or math, the element itself included
         self.foreign = False  # whether an svg or math was met
         self._parse(html)
         self._drop_hinted()
@@ -150,7 +165,11 @@ class Page:
                 at = lt + 1
 
     def _in_foreign(self) -> bool:
-        return self.foreign and any(self.tag[i] in FOREIGN for i in self.open)
+        return self.in_foreign[self.open[-1]]
+
+    def _cut(self, depth: int) -> None:
+        self.held.subtract(self.tag[i] for i in self.open[depth:])
+        del self.open[depth:]
 
     def _leave_foreign(self) -> None:
         depth, top = len(self.open), len(self.open)
@@ -158,11 +177,11 @@ class Page:
             depth -= 1
             if self.tag[self.open[depth]] in FOREIGN:
                 top = depth
-        del self.open[top:]
+        self._cut(top)
 
     def _leave_head(self) -> None:
         if self.tag[self.open[-1]] == "head":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def _chars(self, raw: str) -> None:
         if self.tag[self.open[-1]] == "head" and not raw.isspace():
@@ -189,7 +208,7 @@ class Page:
         parent = self.open[-1]
         drop = self.drop[parent]
         if not drop and name not in ("html", "body", *LANDMARK):
-            inside = any(self.tag[i] in LANDMARK for i in self.open)
+            inside = self.inside[parent]
             drop = name in DROPPED or name == "header" and not inside
             hints = _hints(attributes) if attributes and not drop and name not in HEADINGS else frozenset()
             if inside:
@@ -198,18 +217,24 @@ class Page:
                 self.hints[len(self.tag)] = hints
         elif name == "article" and attributes and _hints(attributes):
             self.lesser.add(len(self.tag))
+        drop = drop or bool(attributes) and _MAY_HIDE.search(attributes) is not None and _hidden(attributes)
         self.tag.append(name)
         self.parent.append(parent)
         self.drop.append(drop)
+        self.inside.append(self.inside[parent] or name in LANDMARK)
+        self.in_foreign.append(self.in_foreign[parent] or name in FOREIGN)
         if not attributes.rstrip().endswith("/"):
             self.open.append(len(self.tag) - 1)
+            self.held[name] += 1
 
     def _close(self, names: frozenset[str] | set[str]) -> None:
         """Close the innermost open element of these names, and what it holds, within its scope."""
+        if not any(self.held[name] for name in names):
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             tag = self.tag[self.open[depth]]
             if tag in names:
-                del self.open[depth:]
+                self._cut(depth)
                 return
             if tag in SCOPE:
                 return
@@ -217,9 +242,11 @@ class Page:
     def _end(self, name: str) -> None:
         if name in BLOCK:
             self.block += 1
+        if not self.held[name]:
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[depth]] == name:
-                del self.open[depth:]
+                self._cut(depth)
                 return
 
     def _drop_hinted(self) -> None:
@@ -264,8 +291,8 @@ class Page:
                     continue
             self.drop[i : last[i]] = [True] * (last[i] - i)
 
-    def densities(self) -> tuple[list[float], list[float], list[int]]:
-        """For each element: composite density, sum over its children, characters. Dropped ones count nothing."""
+    def densities(self) -> tuple[list[float], list[float], list[int], list[int]]:
+        """For each element: composite density, sum over its children, characters, those in links. Dropped ones count nothing."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         linked, formula = [False] * n, [False] * n
@@ -294,7 +321,7 @@ class Page:
                 density[i] = c / t * log(max(c / lc * t / lt, 1.0)) / log(max(base, 1.001))
             if i:
                 total[self.parent[i]] += density[i]
-        return density, total, chars
+        return density, total, chars, link_chars
 
 
 def main_text(html: str | None) -> str:
@@ -303,35 +330,54 @@ def main_text(html: str | None) -> str:
     Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
     and reader comments are left out by element name and by class, id and role;
     a class, id or role never drops what holds the article, nor a heading. Drawings
-    (svg), templates and what browsers show only without scripts or frames go too;
+    (svg), templates, hidden elements and what browsers show only without scripts or frames go too;
     formulas, the inside of object and listings stay.
     Of what is left the subtree with the largest sum of densities is sought. If a
-    landmark (article, main) holds it or is held by it, the whole landmark is the
-    main text; else every element on or beside the path from it to the body whose
+    landmark (article, main) holds it or is held by it, the whole landmark is main
+    text, and so are other landmarks whose density reaches the least density on its
+    path to the body, and headings and paragraphs beside them in the element that
+    holds them. Without a landmark it is every element on or beside the path from it to the body whose
     density reaches the least density on that path, so that a paragraph beside
     the best subtree stays.
     """
     if not html:
         return ""
     page = Page(html)
-    density, total, chars = page.densities()
+    density, total, chars, links = page.densities()
     n = len(page.tag)
     last = list(range(1, n + 1))  # end of each subtree in document order
     for i in range(n - 1, 0, -1):
         last[page.parent[i]] = max(last[page.parent[i]], last[i])
     best = max(range(n), key=lambda i: (total[i], density[i], -i))
 
+    def path_of(at: int) -> list[int]:
+        path = [at]
+        while at and page.tag[at] != "body":
+            at = page.parent[at]
+            path.append(at)
+        return path
+
     marks = [i for i in range(n) if page.tag[i] in LANDMARK and not page.drop[i] and chars[i]]
     near = [i for i in marks if i <= best < last[i]]
     near = near or [i for i in marks if best <= i < last[best]]
     if near:
         top = max(near, key=lambda i: (total[i] + density[i], -i))
-        kept = [(top, last[top])]
+        path = path_of(top)
+        threshold = min(density[i] for i in path)
+        taken = {top} | {i for i in marks if i not in page.lesser and density[i] >= threshold and not i <= top < last[i]}
+        # headings and paragraphs that stand beside an article in the element that holds it
+        beside = {page.parent[i] for i in taken if page.tag[page.parent[i]] not in ("#root", "html", "body")}
+        taken |= {
+            i for i in range(n)
+            if page.parent[i] in beside and page.tag[i] in BESIDE and not page.drop[i] and 2 * links[i] <= chars[i] and chars[i]
+        }
+        kept, end = [], 0
+        for i in sorted(taken):
+            if i >= end:
+                kept.append((i, last[i]))
+                end = last[i]
     else:
-        path, at = [best], best
-        while at and page.tag[at] != "body":
-            at = page.parent[at]
-            path.append(at)
+        path = path_of(best)
         threshold = min(density[i] for i in path)
         kept, at = [], 0
         on_path = set(path)
@@ -343,9 +389,12 @@ def main_text(html: str | None) -> str:
                 at += 1
         if not kept:
             kept = [(0, n)]
+    shown = [False] * n
+    for a, b in kept:
+        shown[a:b] = [True] * (b - a)
     blocks: dict[int, list[str]] = {}
     for i, block, raw in page.text:
-        if not page.drop[i] and any(a <= i < b for a, b in kept):
+        if shown[i] and not page.drop[i]:
             blocks.setdefault(block, []).append(unescape(raw) if "&" in raw else raw)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)

@@ -1,3 +1,4 @@
+import time
 import html
 import re
 
@@ -109,3 +110,26 @@ def test_rows(spark):
     got = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "x", 1), (1, "", 0), (1, "", 0), (2, "", 0)]
     assert main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+LONG = "Words of a sentence that is long enough to be dense, and one more clause. " * 6
+
+
+def test_all_articles_and_what_stands_beside_them():
+    two = f"<body><nav><a href=x>menu</a></nav><article><p>{LONG}one</p></article><article><p>{LONG}two</p></article></body>"
+    assert main_text(two).count("\n") == 1 and main_text(two).endswith("two")
+    beside = f"<body><div><h1>Title</h1><p>Introduction.</p><article><p>{LONG}</p></article><p><a href=x>more links here</a></p></div></body>"
+    assert main_text(beside) == f"Title\nIntroduction.\n{LONG.strip()}"
+
+
+def test_hidden_text_and_notices():
+    page = f"<article><p>{LONG}</p><p hidden>a</p><div style='color:red; Display : none'>b</div><p class='hidden-x' title='hidden'>c</p>{{}}</article>"
+    assert main_text(page.format("")) == f"{LONG.strip()}\nc"
+    for notice in ("<div class='usercomment'><p>d</p></div>", "<div class='alert alert-warning'>e</div>"):
+        assert main_text(page.format(notice)) == f"{LONG.strip()}\nc"
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    deep = main_text("<article>" + "<font>" * 100_000 + LONG + "</b>" * 50_000 + "</article>")
+    assert deep == LONG.strip() and time.process_time() - began < 4
