@@ -189,6 +189,39 @@ def trade_signals(shipments: DataFrame) -> DataFrame:
     )
 
 
+def stock_days(moves: DataFrame, days: int = 30, buckets: int | None = None) -> DataFrame:
+    """(lane, day, stock, daily_outflow, stock_days) for each day on which a lane's goods moved.
+
+    moves: lane, day, inflow, outflow; several rows of a day are added up, null
+    counts as nothing. Stock is all inflow less all outflow up to and with the day.
+    The baseline is the mean outflow of the last ``days`` calendar days, those without
+    movement included, or of the days since the lane's first movement if they are
+    fewer; stock_days is how long the stock, if there is any, lasts at that rate, and
+    null where nothing left in that time.
+
+    Both sums are running totals of steps: an outflow enters the trailing sum on its
+    day and leaves it ``days`` later, so no window is formed and a lane of very many
+    days is split by range.
+    """
+    amount = lambda c: F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    daily = moves.where("day IS NOT NULL").groupBy("lane", F.col("day").cast("date").alias("day")).agg(
+        amount("inflow").alias("inflow"), amount("outflow").alias("outflow")
+    )
+    entering = daily.select(
+        "lane", "day", F.lit(1).alias("side"), (F.col("inflow") - F.col("outflow")).alias("stock"), F.col("outflow").alias("recent")
+    )
+    leaving = daily.select(
+        "lane", F.date_add("day", days).alias("day"), F.lit(0).alias("side"), F.lit(0.0).alias("stock"), (-F.col("outflow")).alias("recent")
+    )
+    timeline = cut_lineage(entering.unionByName(leaving))
+    totals = running_sums(timeline, ["lane"], ["day", "side"], ["stock", "recent"], buckets).where("side = 1")
+    began = timeline.groupBy(F.col("lane").alias("of")).agg(F.min("day").alias("first"))
+    dated = totals.join(began, F.col("lane").eqNullSafe(F.col("of")))
+    rate = F.col("recent") / F.least(F.lit(days), F.date_diff("day", "first") + 1)
+    lasts = F.try_divide(F.greatest("stock", F.lit(0.0)), rate)
+    return dated.select("lane", "day", "stock", rate.alias("daily_outflow"), lasts.alias("stock_days"))
+
+
 def trade_flow(edges: DataFrame, trailing_months: int = 3) -> DataFrame:
     """Monthly value per exporter and importer against its trailing mean.
 

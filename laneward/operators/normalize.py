@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laneward.functions.risk import squash
-from laneward.operators.ordered import BUCKET, bucket_window, ordered_buckets, per_bucket
+from laneward.operators.ordered import BUCKET, bucket_window, ordered_buckets, per_bucket, with_carried
 from laneward.operators.stats import stats_long
 
 REQUEST_ORDER = ("created_at", "request_id")
@@ -110,12 +110,8 @@ def normalize_running(
         for f in features
     }
     local = per_bucket(rows, buckets).withColumns(running)
-    if scope and state is not None:
-        # a state row per scope: not bounded by the buckets, joined by shuffle
-        joined = local.join(history, [BUCKET, *scope], "left")
-    else:
-        # at most one continuing scope per bucket: fewer rows than buckets
-        joined = local.join(F.broadcast(history), [BUCKET, *scope], "left")
+    # at most one continuing scope per bucket; with a state a row per scope, joined by shuffle
+    joined = with_carried(local, history, scope, bounded=not scope or state is None)
     merged = joined.withColumns({f"_at_{f}": _upto(f) for f in features})
     return merged.select(
         *[_normalised(c).alias(c) if c in features else F.col(c) for c in raw.columns]

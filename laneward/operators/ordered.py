@@ -108,9 +108,19 @@ def _carried(rows: DataFrame, keys: Sequence[str], summary: dict[str, Column], c
     return carried.where("_seen > 0").drop("_seen")
 
 
-def _with_carried(local: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # fewer rows than buckets (module text), so always small enough to broadcast
-    return local.join(F.broadcast(carried), [BUCKET, *keys], "left")
+def with_carried(local: DataFrame, carried: DataFrame, keys: Sequence[str], bounded: bool = True) -> DataFrame:
+    """Left join of what is carried into each bucket; a null key continues like any other.
+
+    Fewer rows than buckets (module text) are always small enough to broadcast;
+    ``bounded`` says whether there are no others.
+    """
+    named = carried.select(*[F.col(k).alias(f"_of_{i}") if k in (BUCKET, *keys) else F.col(k) for i, k in enumerate(carried.columns)])
+    names = dict(zip(carried.columns, named.columns))
+    same = local[BUCKET] == named[names[BUCKET]]
+    for k in keys:
+        same &= local[k].eqNullSafe(named[names[k]])
+    joined = local.join(F.broadcast(named) if bounded else named, same, "left")
+    return joined.drop(*[names[k] for k in (BUCKET, *keys)])
 
 
 def running_sums(
@@ -134,7 +144,7 @@ def running_sums(
     )
     total = {c: F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0)) for c in sums}
     return (
-        _with_carried(local, carried, keys)
+        with_carried(local, carried, keys)
         .withColumns(total)
         .drop(BUCKET, *[f"_{c}" for c in sums])
     )
@@ -159,4 +169,4 @@ def last_known(
     window = bucket_window(keys, order)
     local = per_bucket(rows, buckets).withColumn(column, F.last(column, ignorenulls=True).over(window))
     filled = F.coalesce(column, "_last")
-    return _with_carried(local, carried, keys).withColumn(column, filled).drop(BUCKET, "_last")
+    return with_carried(local, carried, keys).withColumn(column, filled).drop(BUCKET, "_last")

@@ -12,6 +12,7 @@ from laneward.dims import FEATURES, MITIGATION, ROUTE_OPTIONS
 from laneward.functions.risk import clip01, factor_percent, risk_label, squash
 from laneward.operators.assemble import assemble_raw, attach_by_lane, attach_pressure, pressure_periods
 from laneward.operators.features import (
+    stock_days,
     asof_features,
     news_features,
     trade_flow,
@@ -230,6 +231,37 @@ def trade_signals_by_lane(spark: SparkSession, sf: str) -> DataFrame:
     return trade_signals(lines).withColumns({c: r6(c) for c in ("inventory_days", "past_delay_days")})
 
 
+@query("""
+WITH moves AS (
+  SELECT s_nationkey AS lane, CAST(o_orderdate AS DATE) AS day, l_quantity AS inflow, 0.0 AS outflow
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
+  UNION ALL
+  SELECT s_nationkey, CAST(l_shipdate AS DATE), 0.0, l_quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+daily AS (SELECT lane, day, sum(inflow) AS inflow, sum(outflow) AS outflow FROM moves GROUP BY 1, 2),
+summed AS (
+  SELECT lane, day,
+    sum(inflow - outflow) OVER (PARTITION BY lane ORDER BY day) AS stock,
+    sum(outflow) OVER (PARTITION BY lane ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW)
+      / least(30, day - min(day) OVER (PARTITION BY lane) + 1) AS daily_outflow
+  FROM daily)
+SELECT lane, strftime(day, '%Y-%m-%d') AS day, round(stock, 6) AS stock, round(daily_outflow, 6) AS daily_outflow,
+  round(CASE WHEN daily_outflow <> 0 THEN greatest(stock, 0.0) / daily_outflow END, 6) AS stock_days
+FROM summed""")
+def stock_days_by_lane(spark: SparkSession, sf: str) -> DataFrame:
+    """Goods enter a supplier nation's stock when they are ordered and leave it when they are shipped."""
+    supplier = wh.table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("lane"))
+    orders = wh.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    lines = wh.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_shipdate")
+    lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    none = F.lit(0.0)
+    came = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "lane", F.to_date("o_orderdate").alias("day"), F.col("l_quantity").alias("inflow"), none.alias("outflow")
+    )
+    went = lines.select("lane", F.to_date("l_shipdate").alias("day"), none.alias("inflow"), F.col("l_quantity").alias("outflow"))
+    found = stock_days(came.unionByName(went))
+    return found.select("lane", F.date_format("day", "yyyy-MM-dd").alias("day"), *[r6(c).alias(c) for c in ("stock", "daily_outflow", "stock_days")])
+
+
 EDGE_LINES = """
 lines AS (
   SELECT sn.n_name AS exporter, cn.n_name AS importer, l_extendedprice AS trade_value_usd,

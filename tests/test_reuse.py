@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from laneward.operators.features import asof_features, news_features
+from laneward.operators.features import asof_features, news_features, stock_days
 from laneward.operators.reuse import last_anchors, reuse_features
 
 START = datetime(2024, 1, 1)
@@ -110,3 +110,23 @@ def test_trailing_news_features(spark, grain):
         assert row.news_vol_7d == len(week)
         assert row.neg_tone_frac_3d == pytest.approx(sum(m[3] for m in late) / len(late) if late else 0.0)
         assert row.strike_flag_7d == int(any(m[4] for m in week))
+
+
+def test_stock_days_with_gaps_and_first_periods(spark):
+    rnd = random.Random(6)
+    moves = []
+    for lane, n in (("hot", 900), ("few", 12), (None, 40)):
+        for _ in range(n):
+            day = START + timedelta(days=rnd.choice([rnd.randrange(40), 100 + rnd.randrange(30), 300]))
+            moves.append((lane, day.date(), rnd.choice([None, 0.0, 5.0, 9.0]), rnd.choice([None, 0.0, 1.0, 6.0])))
+    moves.append(("still", START.date(), 4.0, None))
+    df = spark.createDataFrame(moves, "lane string, day date, inflow double, outflow double")
+    got = {(r.lane, r.day): (r.stock, r.daily_outflow, r.stock_days) for r in stock_days(df, 30, buckets=9).collect()}
+    assert set(got) == {m[:2] for m in moves}
+    for (lane, day), (stock, rate, lasts) in got.items():
+        mine = [m for m in moves if m[0] == lane and m[1] <= day]
+        span = min(30, (day - min(m[1] for m in mine)).days + 1)
+        recent = sum(m[3] or 0 for m in mine if (day - m[1]).days < 30) / span
+        assert stock == sum((m[2] or 0) - (m[3] or 0) for m in mine) and rate == pytest.approx(recent)
+        assert lasts is None if recent == 0 else lasts == pytest.approx(max(stock, 0) / recent)
+    assert got["still", START.date()] == (4.0, 0.0, None)
