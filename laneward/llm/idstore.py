@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from laneward.llm.common import byte_column
 from laneward.llm.wordbpe import default_vocabulary, encoder
 
+#: Documents whose ids a task holds at a time.
+_STEP_ROWS = 1000
+
 STORED = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 
 
@@ -42,7 +45,7 @@ def write_ids(
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all, part, start = encoder(vocabulary).encode_all, TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (b.slice(at, _STEP_ROWS) for b in batches for at in range(0, b.num_rows, _STEP_ROWS)):
             ids = [np.append(x, np.uint32(end_id)) for x in encode_all(list(byte_column(batch, "text")))]
             counts = np.array([len(x) for x in ids], np.int64)
             ends = np.cumsum(counts)

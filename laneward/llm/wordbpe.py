@@ -10,7 +10,7 @@ import numpy as np
 import regex
 
 #: Words a worker keeps in one generation of its memo; about 200 bytes each, two generations at most.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 #: A control character that becomes one token of its own and parts the words of one call.
 _PART = b"\x7f"
 _CALL_WORDS = 2000
