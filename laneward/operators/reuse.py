@@ -28,10 +28,11 @@ def _follow(rows: pd.DataFrame, ttl_us: int) -> pd.DataFrame:
     """Source of every row of one bucket (rows: lane, at, request_id, in_at, in_id)."""
     rows = rows.sort_values(["lane", "at", "request_id"], kind="stable", ignore_index=True)
     at = rows["at"].to_numpy("int64")
-    lane = pd.factorize(rows["lane"])[0]
+    code = pd.factorize(rows["lane"])[0]
     n = len(rows)
     index = np.arange(n)
-    start = np.r_[True, lane[1:] != lane[:-1]]
+    start = np.r_[True, code[1:] != code[:-1]]
+    lane = np.cumsum(start) - 1  # a null lane is one like any other
     first = index[start]
     end = np.r_[first[1:], n]
 
@@ -112,7 +113,7 @@ def _carried_in(rows: DataFrame, parts: DataFrame, stored: DataFrame | None, buc
     if stored is None:
         begun = begun.select("lane", F.lit(None).cast("long").alias("_at"), F.lit(None).cast(id_).alias("_id"))
     else:
-        begun = begun.join(stored, "lane", "left")
+        begun = _with_stored(begun, stored, "left")
     begun = cut_lineage(begun)
     none = F.lit(None).cast("long")
     asked = steps.select("lane", F.col("step").alias("source"), (F.col("out_at") + ttl_us).alias("time")).unionByName(
@@ -148,6 +149,12 @@ def _carried_in(rows: DataFrame, parts: DataFrame, stored: DataFrame | None, buc
     )
 
 
+def _with_stored(rows: DataFrame, stored: DataFrame, how: str) -> DataFrame:
+    """Join stored anchors by lane, the null lane too."""
+    named = stored.withColumnRenamed("lane", "_stored_lane")
+    return rows.join(named, rows["lane"].eqNullSafe(named["_stored_lane"]), how).drop("_stored_lane")
+
+
 def reuse_features(
     requests: DataFrame,
     ttl_seconds: int = TTL_SECONDS,
@@ -158,11 +165,12 @@ def reuse_features(
 
     requests: lane, created_at, request_id. ``anchors`` continues an earlier
     run: (lane, source_at, source_request_id), one row per lane. Rows older than
-    the anchor of their lane cannot reuse it; they follow one another alone.
+    the anchor of their lane cannot reuse it; they follow one another alone. Rows
+    without a lane are a lane of their own.
     """
     if anchors is not None:
         stored = anchors.select("lane", F.col("source_at").alias("_stored_at"))
-        marked = requests.select("lane", "created_at", "request_id").join(stored, "lane", "left")
+        marked = _with_stored(requests.select("lane", "created_at", "request_id"), stored, "left")
         is_late = F.coalesce(F.col("created_at").cast("timestamp") < F.col("_stored_at"), F.lit(False))
         marked = cut_lineage(marked.withColumn("_late", is_late))
         late = marked.where("_late").drop("_late", "_stored_at")
@@ -196,8 +204,10 @@ def reuse_features(
         entering = entering.withColumns({"in_at": F.lit(None).cast("long"), "in_id": F.lit(None).cast(id_text)})
     if stored is not None:
         # lanes are not bounded: their stored anchors meet the rows by a shuffle join
-        first = parts.groupBy("lane").agg(F.min(BUCKET).alias(BUCKET)).join(stored, "lane")
-        entering = entering.join(first, [BUCKET, "lane"], "left").select(
+        first = _with_stored(parts.groupBy("lane").agg(F.min(BUCKET).alias(BUCKET)), stored, "inner")
+        first = first.withColumnsRenamed({BUCKET: "_in", "lane": "_of"})
+        same = (entering[BUCKET] == first["_in"]) & entering["lane"].eqNullSafe(first["_of"])
+        entering = entering.join(first, same, "left").select(
             *rows.columns, F.coalesce("in_at", "_at").alias("in_at"), F.coalesce("in_id", "_id").alias("in_id")
         )
 

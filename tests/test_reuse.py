@@ -68,6 +68,18 @@ def test_continues_from_stored_anchors(spark):
     assert found == chain(rows)
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 12])
+def test_rows_without_a_lane_are_a_lane_of_their_own(spark, buckets):
+    rows = [(None if i % 4 == 0 else lane, t, rid) for i, (lane, t, rid) in enumerate(traffic("dense", 900))]
+    named = chain([(lane or "", t, rid) for lane, t, rid in rows])
+    got = reuse_features(frame(spark, rows), buckets=buckets)
+    assert {r.request_id: r.source_request_id for r in got.collect()} == named
+    first = reuse_features(frame(spark, [r for r in rows if r[1] < 20_000]), buckets=buckets).cache()
+    later = frame(spark, [r for r in rows if r[1] >= 20_000])
+    second = reuse_features(later, anchors=last_anchors(first), buckets=buckets)
+    assert {r.request_id: r.source_request_id for r in first.unionByName(second).collect()} == named
+
+
 def test_asof_lookup(spark):
     rnd = random.Random(4)
     requests = [("hot" if i % 3 else f"l{i % 7}", rnd.randrange(200_000) / 10, f"q{i}") for i in range(900)]
