@@ -151,3 +151,76 @@ def test_reuse_replay_of_a_batch(spark, tmp_path):
         step(part, batch_id)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert as_dict(got, "source_request_id") == as_dict(reuse_features(df), "source_request_id")
+
+
+def shuffled_batches(rows, time, parts, minutes):
+    """Batches in order of a time that is wrong by up to ``minutes``: rows come out of order, within the lateness."""
+    rnd = random.Random(5)
+    rows = sorted(rows, key=lambda r: r[time] + timedelta(minutes=rnd.random() * minutes))
+    size = -(-len(rows) // parts)
+    return [rows[k : k + size] for k in range(0, len(rows), size)]
+
+
+def in_steps(spark, tmp_path, batches, schema, build):
+    """The stream's rows, stopped and started again after each batch."""
+    import os
+
+    path = str(tmp_path / "in")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        newest = max((os.path.join(path, f) for f in os.listdir(path) if f.startswith("part")), key=os.path.getmtime)
+        os.utime(newest, (1_700_000_000 + k, 1_700_000_000 + k))
+        rows_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        run(build(rows_in).writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "ck"))
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_reuse_by_keyed_state_out_of_order_with_restarts(spark, tmp_path):
+    from laneward.streaming.keyed import reuse_lane_stream
+
+    rnd = random.Random(21)
+    rows = [
+        (None if i % 11 == 0 else "hot" if i % 3 else f"l{i % 6}", START + timedelta(seconds=rnd.randrange(60_000)), f"q{i:04d}")
+        for i in range(400)
+    ]
+    rows += [(None, START + timedelta(hours=8), "twice"), (None, START + timedelta(hours=8), "twice")]  # repeated
+    batches = shuffled_batches(rows, 1, 3, 14)
+    end = START + timedelta(hours=40)
+    batches.append([("hot", START + timedelta(minutes=3), "late"), ("end", end, "end"), ("hot", None, "no time")])
+    batches.append([("end", end + timedelta(hours=1), "end2"), ("hot", START + timedelta(hours=1), "late2")])
+    schema = "lane string, created_at timestamp, request_id string"
+    got = in_steps(spark, tmp_path, batches, schema, reuse_lane_stream)
+    late = {r.request_id for r in got.where("is_late").collect()}
+    assert late >= {"late2"} and "no time" not in {r.request_id for r in got.collect()}
+    timely = spark.createDataFrame([r for b in batches for r in b if r[1] and r[2] not in late], schema)
+    want = reuse_features(timely).where(~F.col("request_id").isin("end", "end2"))
+
+    def listed(df):
+        return sorted(map(repr, df.select("lane", "created_at", "request_id", "source_request_id", "source_at", "is_reuse").collect()))
+
+    assert listed(got.where("NOT is_late AND lane <=> 'end' = false")) == listed(want)
+    assert late <= {"late", "late2"}
+
+
+def test_lane_normaliser_by_keyed_state(spark, tmp_path):
+    from laneward.streaming.keyed import normalize_lane_stream
+
+    rnd = random.Random(4)
+    rows = [
+        ("hot" if i % 3 else f"l{i % 5}", START + timedelta(minutes=rnd.randrange(20 * 1440)), i, None if i % 13 == 0 else 1e6 + rnd.gauss(50, 9), rnd.random())
+        for i in range(500)
+    ]
+    batches = shuffled_batches(rows, 1, 3, 600)
+    batches.append([("end", START + timedelta(days=60), 1000, 1.0, 1.0)])
+    schema = "lane string, created_at timestamp, request_id int, x double, y double"
+    got = in_steps(spark, tmp_path, batches, schema, lambda df: normalize_lane_stream(df, ["x", "y"]))
+    assert got.where("is_late").isEmpty()
+    want = as_dict(normalize_running(spark.createDataFrame(rows, schema), ["x", "y"], scope=["lane"]), "x", "y")
+    found = as_dict(got, "x", "y")
+    assert found.keys() == want.keys()
+    for k in want:
+        assert found[k] == pytest.approx(want[k], abs=1e-6)
