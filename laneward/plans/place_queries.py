@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ from laneward.operators import locate, mentions, news_path, ranking, routes
 from laneward.operators.scoring import with_identity
 from laneward.plans import warehouse as wh
 from laneward.plans.registry import query, r6, values_sql
-from laneward.session import cut_lineage
+from laneward.session import cut_lineage, shared_folder
 from laneward.sources import answers, payloads
-from laneward.sources.requests import REQUEST_SCHEMA, requests_from
+from laneward.sources.requests import REQUEST_SCHEMA, requests_from, scan_requests
 
 # ---------------------------------------------------------------------------
 # Sources
@@ -63,6 +65,36 @@ def request_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT o_orderkey AS order_no, CASE
+         WHEN o_orderkey % 7 = 1 THEN 'malformed'
+         WHEN o_orderkey % 7 = 2 THEN 'missing component_type, import_location'
+         WHEN o_orderkey % 7 = 3 THEN 'missing import_location' END AS reason,
+       CASE WHEN o_orderkey % 7 = 1 THEN '{"request_id":"' || o_orderkey || '","component_type":"' || o_orderpriority
+            WHEN o_orderkey % 7 = 4 THEN '{"request_id":"' || o_orderkey || '","created_at":"no time","component_type":"' || o_orderpriority
+              || '","seller_location":"s","import_location":"i"}' END AS raw_line
+FROM orders""")
+def rejected_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as a request line, some cut short or incomplete, written as text and read by one scan."""
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 7
+    start = F.concat(F.lit('{"request_id":"'), key.cast("string"), F.lit('"'))
+    typed = F.concat(F.lit(',"component_type":"'), F.col("o_orderpriority"))
+    seller, both = F.lit(',"seller_location":"s"}'), F.lit('","seller_location":"s","import_location":"i"}')
+    line = (
+        F.when(kind == 1, F.concat(start, typed))
+        .when(kind == 2, F.concat(start, seller))
+        .when(kind == 3, F.concat(start, typed, F.lit('"'), seller))
+        .when(kind == 4, F.concat(start, F.lit(',"created_at":"no time"'), typed, both))
+        .otherwise(F.concat(start, typed, both))
+    )
+    path = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    wh.table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    rows = scan_requests(spark, path)
+    # a malformed line gives no field, so its number is read from its text
+    number = F.coalesce("request_id", F.regexp_extract("raw_line", r'"request_id":"(\d+)"', 1)).cast("long")
+    return rows.select(number.alias("order_no"), "reason", "raw_line")
+
+
 def _weather_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """One answer per order line: days of both shapes, some without a temperature."""
     lines = wh.table(spark, sf, "lineitem").select(

@@ -212,6 +212,20 @@ def test_requests(spark, tmp_path):
     assert [r.request_id for r in rejected.collect()] == ["3"]
 
 
+def test_rejected_requests_keep_reason_and_text(spark, tmp_path):
+    good = '{"request_id":"1","created_at":"never","component_type":"c","seller_location":"s","import_location":"i"}'
+    bad = ['{"request_id":"2","component_type":"c', "no json", '{"request_id":"3","seller_location":"s"}', "[1, 2]", "{}"]
+    path = tmp_path / "in.json"
+    path.write_text("\n".join([good, *bad]))
+    accepted, rejected = read_requests(spark, str(path))
+    assert [(r.request_id, r.created_at) for r in accepted.collect()] == [("1", None)]
+    got = sorted((r.reason, r.raw_line or "") for r in rejected.collect())
+    assert got == sorted([
+        ("malformed", bad[0]), ("malformed", bad[1]), ("malformed", bad[3]),
+        ("missing component_type, import_location", ""), ("missing component_type, seller_location, import_location", ""),
+    ])
+
+
 def test_query_fan_out(spark):
     df = spark.createDataFrame(
         [("1", "Chip", "Hsinchu", "LA", "TSMC"), ("2", "Chip", "X", "X", None)],
