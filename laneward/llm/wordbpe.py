@@ -1,21 +1,24 @@
-"""Token ids of whole texts as the tokenizers library gives them, each distinct word encoded once for a worker."""
+"""Token ids of whole texts as the tokenizers library gives them, each distinct piece encoded once for a worker."""
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words a worker keeps in one generation of its memo; about 200 bytes each, two generations at most.
-MEMO_WORDS = 250_000
+#: Pieces whose ids a worker keeps, and those of one more call; about 200 bytes each.
+MEMO_PIECES = 750_000
 #: A control character that becomes one token of its own and parts the words of one call.
-_PART = b"\x7f"
+_PART = "\x7f"
 _CALL_WORDS = 2000
 #: Texts that are encoded together: about so many bytes.
-_CALL_BYTES = 1 << 20
+_CALL_BYTES = 1 << 22
 
 # The rules under which a text's ids are those of its words. Other vocabularies take whole texts.
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,6 +45,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(others) if b != 10}
 
 
+def _latin_pieces() -> str:
+    """_PIECE for texts of Latin characters, and the end of a line as a piece; letters first, which changes nothing."""
+    latin = sorted({low for c in range(_LATIN) for low in chr(c) + chr(c).lower()})
+    letters, numbers = (re.escape("".join(c for c in latin if category(c)[0] == kind)) for kind in "LN")
+    spaces = "\\t-\\r \\x85\\xa0"
+    endings = _PIECE[: _PIECE.index("|[")]
+    return rf"[{letters}]+|\n|{endings}|[{numbers}]|[^{spaces}{letters}{numbers}]+"
+
+
 def _by_words(settings: dict) -> bool:
     """Whether a vocabulary drops white space, cuts by _PIECE and marks the end of each piece."""
     pre, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
@@ -60,44 +72,51 @@ def _by_words(settings: dict) -> bool:
     )
 
 
-class _Memo:
-    """Ids of words, end to end."""
+class _Pieces(dict):
+    """Numbers of pieces in the order they are met, and the ids of each; piece 0 parts words and has none."""
 
     def __init__(self) -> None:
-        self.place: dict[bytes, int] = {}
+        super().__init__({"\n": 0})
+        self.new: list[str] = []
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.empty(1 << 14, np.int64)
-        self.count = np.empty(1 << 14, np.int64)
-
-    def store(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        n, m = len(self.place), len(words)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.count = np.zeros(1 << 14, np.int64)
+        self.known = 1
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+    def store(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """The ids, end to end, of the pieces that follow those known."""
+        end = self.known + len(counts)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + m > len(self.start):
+        while end > len(self.start):
             self.start = np.concatenate([self.start, np.empty_like(self.start)])
             self.count = np.concatenate([self.count, np.empty_like(self.count)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[n : n + m] = self.used + np.cumsum(counts) - counts
-        self.count[n : n + m] = counts
-        self.place.update(zip(words, range(n, n + m)))
+        self.start[self.known : end] = self.used + np.cumsum(counts) - counts
+        self.count[self.known : end] = counts
+        self.known = end
         self.used += len(ids)
 
-    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words at these places, end to end, and how many each has."""
-        counts = self.count[at]
-        ends = np.cumsum(counts)
-        pick = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + counts, counts)
-        return self.flat[pick], counts
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of flat with these starts and lengths, end to end."""
+    ends = np.cumsum(counts)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)]
 
 
 class WordEncoder:
     """Encodes texts; with a vocabulary that never merges across white space, word by word.
 
-    A new word of Latin letters, digits and signs is lower-cased and cut into pieces
-    here; only pieces not seen before pass the library's byte pair encoding. Other
-    words pass the library whole. When a generation of the memo is full, a new one
-    starts; words in use move to it, the rest are forgotten with the one before.
+    The distinct words of some texts are found by Arrow. Those of Latin letters, digits
+    and signs are lower-cased and cut into pieces here; only pieces that the memo does
+    not hold pass the library's byte pair encoding. Other words pass the library whole.
+    A full memo is forgotten.
     """
 
     def __init__(self, path: str):
@@ -110,7 +129,7 @@ class WordEncoder:
         self.by_words = _by_words(settings)
         if not self.by_words:
             return
-        (self.part,) = self._ids(_PART.decode())
+        (self.part,) = self._ids(_PART)
         self.pairs = Tokenizer.from_file(path)
         self.pairs.normalizer = None
         self.pairs.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
@@ -119,10 +138,10 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
-        self.cut = regex.compile(_PIECE.replace(r"\s", r"\p{White_Space}") + r"|\n").findall
-        others = "|".join(regex.escape(t["content"]) for t in settings["added_tokens"])
-        self.hard = regex.compile(rf"[^\x00-\x7e\x80-\u{_LATIN - 1:04x}]" + (f"|{others}" if others else "")).search
-        self.pieces, self.words, self.old = _Memo(), _Memo(), _Memo()
+        self.cut = re.compile(_latin_pieces()).findall
+        others = "|".join(re.escape(t["content"]) for t in settings["added_tokens"])
+        self.hard = re.compile(rf"[^\x00-\x7e\x80-\u{_LATIN - 1:04x}]" + (f"|{others}" if others else "")).search
+        self.pieces = _Pieces()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -135,55 +154,64 @@ class WordEncoder:
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the vocabulary does not mark the end of each piece")
-            self.pieces.store(some, ids, np.diff(ends, prepend=0))
-
-    def _learn_easy(self, words: list[bytes], texts: list[str]) -> None:
-        cut = self.cut("\n".join(texts).lower())
-        if len(self.pieces.place) > MEMO_WORDS:
-            self.pieces = _Memo()
-        new = set(cut).difference(self.pieces.place)
-        new.discard("\n")
-        self._learn_pieces(list(new))
-        get = self.pieces.place.get
-        at = np.fromiter((get(p, -1) for p in cut), np.int64, len(cut))  # -1: the end of a word
-        inside = at >= 0
-        ids, counts = self.pieces.ids(at[inside])
-        ends = np.append(0, np.cumsum(counts))
-        last = np.append(np.flatnonzero(~inside), len(cut)) - np.arange(len(words))  # pieces up to the end of each word
-        self.words.store(words, ids, np.diff(ends[last], prepend=0))
-
-    def _learn_hard(self, words: list[bytes]) -> None:
-        plain = [w for w in words if _PART not in w]
-        glue = b" " + _PART + b" "
+            self.pieces.store(ids, np.diff(ends, prepend=0))
+
+    def _easy(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words parted by line ends, end to end, and how many each has."""
+        cut = self.cut(text.lower())
+        if len(self.pieces) > MEMO_PIECES:
+            self.pieces = _Pieces()
+        memo = self.pieces
+        at = np.fromiter(map(memo.__getitem__, cut), np.int64, len(cut))
+        new, memo.new = memo.new, []
+        try:
+            self._learn_pieces(new)
+        except BaseException:
+            self.pieces = _Pieces()  # some numbers have no ids
+            raise
+        counts = memo.count[at]
+        last = np.append(np.flatnonzero(at == 0), len(at))
+        ends = np.append(0, np.cumsum(counts))[last]
+        return _gathered(memo.flat, memo.start[at], counts), np.diff(ends, prepend=0)
+
+    def _hard(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that the library encodes whole."""
+        plain = [i for i, w in enumerate(words) if _PART not in w]
+        found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(words)
         for i in range(0, len(plain), _CALL_WORDS):
             some = plain[i : i + _CALL_WORDS]
-            ids = np.asarray(self._ids(glue.join(some).decode("utf-8", "replace")), np.uint32)
-            parts = ids == self.part
-            if parts.sum() != len(some) - 1:
+            ids = np.asarray(self._ids(f" {_PART} ".join(words[j] for j in some)), np.uint32)
+            parts = np.flatnonzero(ids == self.part)
+            if len(parts) != len(some) - 1:
                 raise ValueError("the vocabulary does not keep words apart")
-            counts = np.diff(np.append(np.flatnonzero(parts), len(ids)), prepend=-1) - 1
-            self.words.store(some, ids[~parts], counts)
-        for word in words:
+            for j, a, b in zip(some, np.append(-1, parts) + 1, np.append(parts, len(ids))):
+                found[j] = ids[a:b]
+        for i, word in enumerate(words):
             if _PART in word:
-                ids = np.asarray(self._ids(word.decode("utf-8", "replace")), np.uint32)
-                self.words.store([word], ids, np.array([len(ids)]))
-
-    def _learn(self, words: list[bytes]) -> None:
-        held = self.old.place
-        kept = [w for w in words if w in held] if held else []
-        if kept:
-            self.words.store(kept, *self.old.ids(np.asarray([held[w] for w in kept], np.int64)))
-            words = [w for w in words if w not in held]
-        for i in range(0, len(words), _CALL_WORDS):
-            some = words[i : i + _CALL_WORDS]
-            texts = b"\n".join(some).decode("utf-8", "replace").split("\n")
-            if self.hard("".join(texts)):
-                hard = [self.hard(t) is not None for t in texts]
-                self._learn_hard([w for w, h in zip(some, hard) if h])
-                texts = [t for t, h in zip(texts, hard) if not h]
-                some = [w for w, h in zip(some, hard) if not h]
-            if some:
-                self._learn_easy(some, texts)
+                found[i] = np.asarray(self._ids(word), np.uint32)
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some words, and where those of each start and how many they are."""
+        text = b"\n".join(words.to_numpy(zero_copy_only=False)).decode("utf-8", "replace")
+        if not self.hard(text):
+            flat, counts = self._easy(text)
+        else:
+            texts = text.split("\n")
+            hard = np.array([self.hard(t) is not None for t in texts])
+            easy = "\n".join(t for t, h in zip(texts, hard) if not h)
+            counts = np.zeros(len(texts), np.int64)
+            flat, counts[hard] = self._hard([t for t, h in zip(texts, hard) if h])
+            order = [np.flatnonzero(hard)]
+            if not hard.all():
+                more, counts[~hard] = self._easy(easy)
+                flat = np.concatenate([flat, more])
+                order.append(np.flatnonzero(~hard))
+            at = np.concatenate(order)
+            starts = np.empty(len(texts), np.int64)
+            starts[at] = np.cumsum(counts[at]) - counts[at]
+            return flat, starts, counts
+        return flat, np.cumsum(counts) - counts, counts
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """The ids of a UTF-8 text, as unsigned 32-bit; none for null."""
@@ -203,19 +231,15 @@ class WordEncoder:
         return out + self._encode_some(waiting)
 
     def _encode_some(self, texts: list[bytes]) -> list[np.ndarray]:
-        parts = [t.split() for t in texts]
-        words = [w for p in parts for w in p]
-        if not words:
+        if not any(texts):
             return [np.empty(0, np.uint32) for _ in texts]
-        if len(self.words.place) > MEMO_WORDS:
-            self.words, self.old = _Memo(), self.words
-        place = self.words.place
-        new = set(words).difference(place)
-        if new:
-            self._learn(list(new))
-        ids, counts = self.words.ids(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
-        ends = np.append(0, np.cumsum(counts))[np.cumsum([len(p) for p in parts])]
-        return np.split(ids, ends[:-1])
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        words = parts.values.view(pa.large_binary()).dictionary_encode()
+        flat, starts, counts = self._distinct(words.dictionary)
+        at = words.indices.to_numpy()
+        counts = counts[at]
+        ends = np.append(0, np.cumsum(counts))[parts.offsets.to_numpy()]
+        return np.split(_gathered(flat, starts[at], counts), ends[1:-1])
 
 
 @lru_cache(maxsize=1)

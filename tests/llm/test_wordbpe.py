@@ -39,13 +39,21 @@ def test_every_latin_character_and_random_words(whole):
         check(encoder, whole, "".join(rng.choice(letters) for _ in range(rng.randint(1, 60))))
 
 
-def test_memo_generations(whole, monkeypatch):
-    monkeypatch.setattr(wordbpe, "MEMO_WORDS", 50)
+def test_full_memo_is_forgotten(whole, monkeypatch):
+    monkeypatch.setattr(wordbpe, "MEMO_PIECES", 50)
     encoder, rng = WordEncoder(default_vocabulary()), random.Random(4)
     for i in range(200):
         check(encoder, whole, " ".join(f"w{rng.randint(0, 400)} The x{i} é{i % 7} 語{i % 5}" for _ in range(rng.randint(1, 30))))
-        assert len(encoder.words.place) < 250 and len(encoder.old.place) < 250
-    assert "The".encode() in encoder.words.place
+        assert len(encoder.pieces) < 200
+
+
+def test_many_texts_at_once(whole, monkeypatch):
+    monkeypatch.setattr(wordbpe, "_CALL_BYTES", 300)
+    monkeypatch.setattr(wordbpe, "_CALL_WORDS", 3)
+    texts = [t.encode() for t in TEXTS * 2] + [None, b"", b"  ", b"x" * 2000, b" a ", b"\xff"]
+    for some in (texts, texts[::-1], [None], [b" "], []):
+        want = [[] if t is None else whole.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in some]
+        assert [x.tolist() for x in WordEncoder(default_vocabulary()).encode_all(some)] == want
 
 
 def test_other_vocabularies_take_whole_texts():
