@@ -17,6 +17,11 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def small_or_merged(df: DataFrame) -> DataFrame:
+    """A checkpointed frame to join: broadcast if it is counted short, else never, whatever its size is taken for."""
+    return F.broadcast(df) if is_small(df) else df.hint("merge")
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, spread_by: Column) -> DataFrame:
     """Left join of ``table`` (one row per key) to ``rows``.
 
@@ -38,4 +43,5 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, spread_by: Column)
     part = F.pmod(F.xxhash64(spread_by), F.when(F.col(key).isNull(), F.lit(NULL_PARTS)).otherwise(parts))
     spread = rows.join(hot, key, "left").withColumn("_part", part.cast("int"))
     copied = stored.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return spread.drop("_copies").join(copied.drop("_copies"), [key, "_part"], "left").drop("_part")
+    # counted as long, so it is not broadcast even if Spark takes it for short
+    return spread.drop("_copies").join(copied.drop("_copies").hint("merge"), [key, "_part"], "left").drop("_part")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneward.dims import CITIES, COUNTRY_CITY, GAZETTEER, small_rows
-from laneward.operators.joins import lookup_join
+from laneward.operators.joins import lookup_join, small_or_merged
 from laneward.session import cut_lineage
 
 
@@ -118,7 +118,8 @@ def _first_by_substring(texts: DataFrame, entries: DataFrame, both_ways: bool) -
     "text inside key" one between the text and a substring of a key. Texts are cut
     at the lengths that keys have, keys at the lengths that texts have and only
     where a text is that short, so long keys are not cut everywhere. Each piece
-    keeps only its first entry. Entries without a key match nothing.
+    keeps only its first entry. Entries without a key match nothing. Pieces are many
+    more than Spark expects of an explode, so no side is broadcast unless counted.
     """
     entry = F.struct("priority", *[c for c in entries.columns if c != "priority"])
     keys = entries.where("key IS NOT NULL").groupBy("key").agg(F.min(entry).alias("entry"))
@@ -129,14 +130,18 @@ def _first_by_substring(texts: DataFrame, entries: DataFrame, both_ways: bool) -
         found = frame.select(F.length(column).alias("n")).distinct().collect()
         return F.array(*[F.lit(n) for n in sorted(r["n"] for r in found)]).cast("array<int>")
 
-    keys = cut_lineage(keys)
+    # numbers in the order of the entries, so that pieces carry one number and not their entry
+    keys = cut_lineage(keys.orderBy("entry").withColumn("number", F.monotonically_increasing_id()))
     key_lengths, text_lengths = lengths(keys, "key"), lengths(distinct, "_text")
-    hits = distinct.select("_text", F.explode(_pieces("_text", key_lengths)).alias("key")).join(keys, "key")
-    hits = hits.select("_text", "entry")
+    numbers = small_or_merged(keys.select("key", "number"))
+    pieces = distinct.select("_text", F.explode(_pieces("_text", key_lengths)).alias("key"))
+    hits = pieces.join(numbers, "key").select("_text", "number")
     if both_ways:
-        inside = keys.select("entry", F.explode(_pieces("key", text_lengths)).alias("_text"))
-        hits = hits.unionByName(inside.join(distinct, "_text").select("_text", "entry"))
-    return hits.groupBy("_text").agg(F.min("entry").alias("_hit"))
+        inside = keys.select("number", F.explode(_pieces("key", text_lengths)).alias("_text"))
+        first = inside.groupBy("_text").agg(F.min("number").alias("number"))
+        hits = hits.unionByName(first.join(small_or_merged(distinct), "_text"))
+    best = hits.groupBy("_text").agg(F.min("number").alias("number"))
+    return best.join(small_or_merged(keys.select("number", F.col("entry").alias("_hit"))), "number").select("_text", "_hit")
 
 
 def _geocode_by_substring(df: DataFrame, addr_col: str, gazetteer: DataFrame) -> DataFrame:
@@ -224,7 +229,7 @@ def city_match(
             if not isinstance(entries, DataFrame):
                 entries = spark.createDataFrame([(n, *e) for n, e in enumerate(entries, 1)], fields)
             best = _first_by_substring(distinct, entries, both_ways).withColumnRenamed("_hit", out)
-            found = found.join(best, "_text", "left")
+            found = found.join(best.hint("merge"), "_text", "left")
         found = found.select("_text", F.coalesce("_name.id", "_country.id").alias("_city"))
         rows = lookup_join(rows, found, "_text", F.struct(*df.columns))
     else:

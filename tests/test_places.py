@@ -151,3 +151,16 @@ def test_short_gazetteer_against_brute_force(spark):
         got = geocode_lookup(texts(spark, addresses), "loc", spark.createDataFrame(rows, d.GAZETTEER_SCHEMA)).collect()
         want = {a: next((k for _, k, _, _ in rows if k in a or a in k), None) for a in addresses}
         assert {r["loc"]: r.place_key for r in got} == want
+
+
+def test_long_city_list_and_its_pieces_are_never_broadcast(spark):
+    """A list of 100,001 keys is past what is counted as short, and Spark takes it for a few MB."""
+    keys = spark.range(100_001).select(
+        F.col("id").cast("int").alias("priority"), F.format_string("town%06d", "id").alias("key"), F.col("id").alias("place")
+    )
+    texts = spark.createDataFrame([("port of town000007 and town000003",), ("wn000",), ("town100000",), ("nowhere",), (None,)], "_text string")
+    found = locate._first_by_substring(texts, keys, True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the four texts may be sent to the pieces, the list and its pieces may not
+    assert plan.count("BroadcastHashJoin") <= 1 and plan.count("SortMergeJoin") == 2, plan
+    assert {r._text: r._hit.place for r in found.collect()} == {"port of town000007 and town000003": 3, "wn000": 0, "town100000": 100_000}
