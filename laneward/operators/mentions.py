@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from laneward.dims import SEARCH_TEMPLATES
 from laneward.operators.joins import is_small, lookup_join
-from laneward.session import cut_lineage
+from laneward.session import cut_lineage, shuffle_width
 
 HOT_TERM = 100_000
+#: Pairs of a query and a document that one task tells apart; fewer, but not fewer than FEW_PAIRS, if tasks would stand idle.
+TASK_PAIRS, FEW_PAIRS = 2_000_000, 100_000
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -65,7 +67,12 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     Each query is looked up by one word only, the rarest of its required words
     (or by each alternative if it has none), so a frequent word costs nothing
     unless a query has no better one. Candidates are then checked in full.
-    Words found in more than HOT_TERM documents are split by document.
+
+    The words of a document are brought together once, in tasks whose number
+    follows the candidates. Few lookups are broadcast to them, so the pairs of a
+    document arise in one task and are never shuffled. Many lookups meet the words
+    by a shuffle join; words found in more than HOT_TERM documents are split by
+    document.
     """
     required, any_of = query_terms(F.col("query"))
     # long queries are carried as numbers and named again at the end
@@ -96,8 +103,40 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
         )
     )
     either = known.where("by_any").select("query", "term", F.coalesce("df", F.lit(0)).alias("df"))
-    chosen = rarest.unionByName(either).where("df > 0")
+    chosen = cut_lineage(rarest.unionByName(either).where("df > 0"))
+    total = chosen.agg(F.sum("df")).first()[0] or 0
+    parts = max(1, -(-total // TASK_PAIRS), min(shuffle_width(docs.sparkSession), -(-total // FEW_PAIRS)))
+    holds = (F.size(F.array_except("required", "doc_terms")) == 0) & (
+        (F.size("any_of") == 0) | F.arrays_overlap("any_of", "doc_terms")
+    )
+    if is_small(chosen):
+        found = _found_in_place(postings, chosen, wanted, holds, parts)
+    else:
+        found = _found_by_term(postings, chosen, wanted, holds, parts)
+    found = found.withColumnRenamed("query", "number")
+    return found.join(F.broadcast(named) if is_small(named) else named, "number").select("query", "doc_id")
+
+
+def _found_in_place(postings: DataFrame, chosen: DataFrame, wanted: DataFrame, holds: Column, parts: int) -> DataFrame:
+    """(query, doc_id) of few lookups, broadcast to the words of each document."""
+    strict = chosen.join(wanted.where(F.size("required") > 0), "query")
+    free = chosen.join(wanted.where(F.size("required") == 0).select("query"), "query", "left_semi")
+    by_doc = postings.repartition(parts, "doc_id")
+    if strict.isEmpty():
+        # a document with one of its alternatives answers a query that requires nothing; several may lead to it
+        return by_doc.join(F.broadcast(free.select("term", "query")), "term").select("query", "doc_id").distinct()
+    nothing = F.lit(None).cast("array<string>")
+    asked = strict.select("term", "query", "required", "any_of").unionByName(
+        free.select("term", "query", nothing.alias("required"), nothing.alias("any_of"))
+    )
+    present = by_doc.groupBy("doc_id").agg(F.collect_set("term").alias("doc_terms"))
+    led = present.withColumn("term", F.explode("doc_terms")).join(F.broadcast(asked), "term")
+    answers = F.col("required").isNull() | (F.col("doc_id").isNotNull() & holds)
+    return led.where(answers).select("query", "doc_id").distinct()
 
+
+def _found_by_term(postings: DataFrame, chosen: DataFrame, wanted: DataFrame, holds: Column, parts: int) -> DataFrame:
+    """(query, doc_id) of many lookups, which meet the words of all documents by a shuffle."""
     copies = F.ceil(F.col("df") / HOT_TERM).cast("int")
     probes = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     split = chosen.select("term", copies.alias("copies")).distinct()
@@ -107,20 +146,18 @@ def mention_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
         .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
     )
     candidates = probes.join(placed.select("term", "salt", "doc_id"), ["term", "salt"]).select("query", "doc_id")
-    # a document with one of its alternatives answers a query that requires nothing; several may lead to it
     free = wanted.where(F.size("required") == 0).select("query")
-    answered = candidates.join(free, "query", "left_semi").distinct()
+    # told apart after the shuffle alone: before it one task may hold the pairs of many frequent words
+    answered = candidates.join(free, "query", "left_semi").repartition(parts, "query", "doc_id").distinct()
     strict = wanted.where(F.size("required") > 0)
-    holds = (F.size(F.array_except("required", "doc_terms")) == 0) & (
-        (F.size("any_of") == 0) | F.arrays_overlap("any_of", "doc_terms")
-    )
     present = postings.groupBy("doc_id").agg(F.collect_set("term").alias("doc_terms"))
-    checked = candidates.join(strict, "query").join(present, "doc_id").where(holds).select("query", "doc_id").distinct()
-    found = answered.unionByName(checked).withColumnRenamed("query", "number")
-    return found.join(named, "number").select("query", "doc_id")
+    checked = candidates.join(strict, "query").join(present, "doc_id").where(holds).select("query", "doc_id")
+    return answered.unionByName(checked.repartition(parts, "query", "doc_id").distinct())
 
 
 def requests_of_matches(queries: DataFrame, matches: DataFrame) -> DataFrame:
     """(request_id, doc_id) of matches made once per query text."""
-    asked = queries.select("request_id", "query").distinct()
+    asked = cut_lineage(queries.select("request_id", "query").distinct())
+    # few queries leave the matches where they are, beside the others of their document
+    asked = F.broadcast(asked) if is_small(asked) else asked
     return asked.join(matches, "query").select("request_id", "doc_id").distinct()

@@ -271,6 +271,36 @@ def test_mention_match_against_brute_force(spark, monkeypatch, hot):
     assert by_request.where("request_id = 'again'").count() == sum(q == "w1 w2" for q, _ in want)
 
 
+def test_pairs_of_few_queries_are_not_shuffled(spark, monkeypatch):
+    import laneward.operators.mentions as mentions
+
+    docs = [(1, "the port is shut"), (1, "a strike"), (2, "the strike"), (None, "port of call"), (None, "the end"), (3, None), (4, "calm")]
+    doc_frame = spark.createDataFrame(docs, "doc_id long, text string")
+    free = [("a", "the OR port OR strike"), ("a", "strike OR shut"), ("b", "port OR call"), (None, "calm OR end")]
+    want = {("a", 1), ("a", 2), ("a", None), ("b", 1), ("b", None), (None, 4), (None, None)}
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "request_id string, query string")
+
+    def found(rows):
+        return requests_of_matches(frame(rows), mention_match(doc_frame, frame(rows)))
+
+    monkeypatch.setattr(mentions, "FEW_PAIRS", 1)
+    got = found(free)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the words by document; before, the pairs were shuffled twice, after a task had told apart those of many words
+    shuffled = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "doc_id" in line]
+    assert len(shuffled) == 1 and "Exchange hashpartitioning(doc_id" in shuffled[0]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    # with words that a query requires, and many lookups: the same, in many tasks
+    mixed = [*free, ("c", "the strike OR shut OR strike"), ("d", "port end"), ("e", "the")]
+    want |= {("c", 1), ("c", 2), ("e", 1), ("e", 2)}
+    monkeypatch.setattr(mentions, "TASK_PAIRS", 3)
+    assert sorted(map(str, map(tuple, found(mixed).collect()))) == sorted(map(str, want))
+    monkeypatch.setattr(mentions, "is_small", lambda *a: False)
+    assert sorted(map(str, map(tuple, found(mixed).collect()))) == sorted(map(str, want))
+
+
 def test_state_versions(spark, tmp_path):
     path = str(tmp_path / "state")
     assert load_state(spark, path) is None
