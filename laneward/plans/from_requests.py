@@ -40,20 +40,20 @@ def analyze_requests(
     meet the requests by joins on distinct keys, and rows stay one per request.
     """
     lane = lane_key(*(F.col(c) for c in ("component_type", "seller_location", "import_location", "seller_name")))
-    asked = requests.withColumn("lane", lane).join(answers.select("request_id", "trade", "political", "pressure"), "request_id", "left")
-    accepted, rejected = trade_json(cut_lineage(asked), "trade")
-
-    source = reuse_features(requests.withColumn("lane", lane)).select(
-        "request_id", F.col("source_request_id").alias("_source")
-    )
+    # the requests are derived once, and so is the source of each; every answer text is decoded once
+    rows = cut_lineage(requests.withColumn("lane", lane))
+    source = cut_lineage(reuse_features(rows).select("request_id", F.col("source_request_id").alias("_source")))
     texts = answers.select(F.col("request_id").alias("_source"), "news")
     news = feature_json(lookup_join(source, texts, "_source", F.col("request_id")), "news", NEWS_ANSWER).drop("news", "_source")
 
     flags = weather_flags(weather, ["lat", "lon"]).select(F.struct("lat", "lon").alias("_place"), "weather_anomaly_7d")
-    placed = resolve_pair(accepted, gazetteer=gazetteer)
+    placed = resolve_pair(rows, gazetteer=gazetteer)
     place = F.struct(F.coalesce("seller_lat", F.lit(0.0)).alias("lat"), F.coalesce("seller_lon", F.lit(0.0)).alias("lon"))
     placed = lookup_join(placed.withColumn("_place", place), flags, "_place", F.col("request_id")).drop("_place")
 
-    decoded = feature_json(placed, "political", POLITICAL_ANSWER)
+    asked = placed.join(answers.select("request_id", "trade", "political", "pressure"), "request_id", "left")
+    accepted, _ = trade_json(asked, "trade")
+    _, rejected = trade_json(rows.select("request_id").join(answers.select("request_id", "trade"), "request_id", "left"), "trade")
+    decoded = feature_json(accepted, "political", POLITICAL_ANSWER)
     decoded = feature_json(decoded, "pressure", pressure_answer(month)).drop("trade", "political", "pressure", "timestamp")
     return analyze(decoded, [news], weights=weights), rejected.select("request_id")

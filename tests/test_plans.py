@@ -85,3 +85,28 @@ def test_ordered_rows_are_shuffled_once_and_never_written(spark, monkeypatch):
     text = plan(normalize_running(raw, ["x"]))
     assert "ExistingRDD" not in text and text.count("repartition_by_id") + text.count("REPARTITION_BY_ID") + text.count("shufflepartitionid") <= 2
     assert text.count("SortMergeJoin") == 0
+
+
+def test_the_whole_analysis_derives_each_request_once(spark):
+    from pyspark.sql import functions as F
+
+    from laneward.plans.from_requests import analyze_requests
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def derived(text):
+        seen.add(1)
+        return text
+
+    rows = [(n, f"2024-01-01 00:{n % 60:02d}:00", f"part {n % 2}", "Taiwan", "Busan", None) for n in range(40)]
+    requests = spark.createDataFrame(rows, "request_id long, at string, component string, seller_location string, import_location string, seller_name string")
+    requests = requests.select("*", F.to_timestamp("at").alias("created_at"), derived.asNondeterministic()("component").alias("component_type"))
+    texts = [(n, '{"edges":null}' if n % 4 == 0 else '{"inventory_days":%d}' % n, '{"news_vol_7d":%d}' % n, "{}", '{"global_risk":0.5}') for n in range(38)]
+    answers = spark.createDataFrame(texts, "request_id long, trade string, news string, political string, pressure string")
+    weather = spark.createDataFrame([(25.033, 121.5654, "{}")], "lat double, lon double, payload string")
+    scored, rejected = analyze_requests(requests.drop("at", "component"), answers, weather, "2024-01")
+    kept = {r.request_id for r in scored.collect()}
+    assert kept == {n for n in range(40) if n % 4 or n >= 38}
+    assert {r.request_id for r in rejected.collect()} == set(range(40)) - kept
+    assert seen.value == 40  # before, for places, reuse, its buckets and the answers anew
